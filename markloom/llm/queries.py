@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from markloom.llm.common import table
 
@@ -22,6 +21,18 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.report(op.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from markloom.llm import op5_simhash as op
+
+    return op.simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from markloom.llm import op7_pack as op
+
+    return op.pack(table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from markloom.llm import op8_license as op
 
@@ -37,6 +48,8 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_decontaminate": op2_decontaminate,
+    "op5_simhash": op5_simhash,
+    "op7_best_fit": op7_best_fit,
     "op8_license_scan": op8_license_scan,
     "op10_fingerprint": op10_fingerprint,
 }
