@@ -6,6 +6,7 @@ import string
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,3 +77,75 @@ def slices(batches, column: str, most_bytes: int = 4_000_000):
 def flow(spark: SparkSession, factor: int = 1) -> int:
     """Number of partitions to deal rows into, from the session's setting."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")) * factor)
+
+
+class WordCache:
+    """Rows of numbers by word, for the words of whole batches: computed once a worker, looked up by dictionary codes.
+
+    Holds at most about `limit` words; beyond that the half needed least goes. `compute` takes a list of words
+    and returns an array with a row for each.
+    """
+
+    def __init__(self, compute, limit: int = 400_000):
+        self.compute, self.limit, self.slots = compute, limit, {}
+        self.rows: np.ndarray | None = None
+        self.used = np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        n = len(self.slots)
+        best = np.argsort(-self.used[:n], kind="stable")[: self.limit // 2]
+        best = np.sort(best[self.used[best] > 1])
+        names = list(self.slots)
+        self.slots = {names[i]: k for k, i in enumerate(best.tolist())}
+        self.rows[: len(best)] = self.rows[best]
+        self.used[: len(best)], self.used[len(best) :] = self.used[best] // 2, 0
+
+    def _learn(self, words: list[str]) -> None:
+        n, new = len(self.slots), self.compute(words)
+        if self.rows is None:
+            self.rows = np.zeros((max(1 << 16, len(words)), *new.shape[1:]), new.dtype)
+            self.used = np.zeros(len(self.rows), np.int64)
+        while n + len(words) > len(self.rows):
+            self.rows, self.used = (np.concatenate([x, np.zeros_like(x)]) for x in (self.rows, self.used))
+        self.rows[n : n + len(words)] = new
+        self.slots.update(zip(words, range(n, n + len(words)), strict=True))
+
+    def of(self, texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+        """Of A-Z-lowered texts, cut at ASCII white space: the row of each word, where texts begin (one more for
+        the end), the distinct words and each word's code among them."""
+        texts = pc.fill_null(texts, "")
+        codes, names, at = words_of(pc.ascii_lower(texts) if lower else texts)
+        if self.slots and len(self.slots) + len(names) > self.limit:
+            self._forget()
+        if new := [w for w in names if w not in self.slots]:
+            self._learn(new)
+        if not names:
+            return self.compute([""])[:0], at, names, codes
+        slot = np.fromiter(map(self.slots.__getitem__, names), np.int64, len(names))
+        self.used[slot] += np.bincount(codes, minlength=len(names))
+        return self.rows[slot][codes], at, names, codes
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Words between ASCII white space: codes, distinct words, and where each text's words begin (one more for the end)."""
+    lists = pc.ascii_split_whitespace(texts)
+    at = lists.offsets.to_numpy().astype(np.int64)
+    flat = lists.values.slice(at[0], at[-1] - at[0])
+    at = at - at[0]
+    full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    if not full.all():  # white space at an end leaves empty strings
+        flat = flat.filter(pa.array(full))
+        at = np.concatenate([[0], np.cumsum(full)])[at]
+    words = flat.dictionary_encode()
+    return words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary.to_pylist(), at
+
+
+def sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of consecutive values between the offsets."""
+    total = np.concatenate([np.zeros((1, *values.shape[1:]), np.float64), np.cumsum(values, axis=0, dtype=np.float64)])
+    return total[at[1:]] - total[at[:-1]]
+
+
+def id_hash_remainder(doc_id: Column, n: int) -> Column:
+    """crc32 of the id as text, modulo n; a null id counts as an empty text."""
+    return F.pmod(F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")), F.lit(n))

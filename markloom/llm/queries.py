@@ -21,6 +21,12 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.report(op.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from markloom.llm import op3_language as op
+
+    return op.language_id(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from markloom.llm import op5_simhash as op
 
@@ -48,6 +54,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_decontaminate": op2_decontaminate,
+    "op3_language_id": op3_language_id,
     "op5_simhash": op5_simhash,
     "op7_best_fit": op7_best_fit,
     "op8_license_scan": op8_license_scan,
