@@ -33,6 +33,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from markloom.llm import op6_lm as op
+
+    return op.lm_score(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from markloom.llm import op7_pack as op
 
@@ -56,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_language_id": op3_language_id,
     "op5_simhash": op5_simhash,
+    "op6_lm_score": op6_lm_score,
     "op7_best_fit": op7_best_fit,
     "op8_license_scan": op8_license_scan,
     "op10_fingerprint": op10_fingerprint,
