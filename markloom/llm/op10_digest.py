@@ -39,14 +39,19 @@ def digest(canon: Column) -> Column:
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
-    """One row per group of canonically equal texts: fingerprint, group_id (smallest doc_id), n_copies.
+    """One row per group of canonically equal texts: fingerprint, told_apart, group_id (smallest doc_id), n_copies.
 
     Copies collapse in the map-side part of the aggregation, so a group that holds a third of all rows
     sends a row per task.
     """
     canon = docs.select("doc_id", canonical(F.col("text")).alias("canon")).withColumn("fingerprint", digest(F.col("canon")))
     groups = canon.groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n_copies"))
-    return groups.drop("canon")
+    return groups.select("fingerprint", _told_apart(F.col("canon")).alias("told_apart"), "group_id", "n_copies")
+
+
+def _told_apart(canon: Column) -> Column:
+    """Another digest, to join rows with the group of their bytes without sending the bytes again."""
+    return F.sha2(F.encode(canon, "UTF-8"), 256)
 
 
 def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -100,7 +105,8 @@ def likeness(one: Column, two: Column, canon_one: Column, canon_two: Column) ->
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
-    """Fingerprints of the texts and of their edited forms (the last quarter replaced by the next document's start)."""
+    """Fingerprints of the texts and of their edited forms (the last quarter replaced by the next document's start),
+    with the id and size of the group of canonically equal texts."""
     n = F.length("text")
     keep, k = n - F.floor(n / 4).cast("int"), F.floor(n / 4).cast("int")
     rows = with_next(docs).withColumn("n_chars", n.cast("long"))
@@ -114,12 +120,14 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         canonical(F.col("next_text")).alias("canon_next"),
     )
     a, b, c = digest(F.col("canon")), digest(F.col("canon_edited")), digest(F.col("canon_next"))
-    return rows.select(
+    rows = rows.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
+        _told_apart(F.col("canon")).alias("told_apart"),
         a.alias("fingerprint"),
         b.alias("edited_fingerprint"),
         likeness(a, b, F.col("canon"), F.col("canon_edited")).alias("near_edited"),
         likeness(a, c, F.col("canon"), F.col("canon_next")).alias("near_next"),
     )
+    return rows.join(exact_groups(docs), ["fingerprint", "told_apart"]).drop("told_apart")
