@@ -22,7 +22,6 @@ import os
 import zlib
 from bisect import bisect_left, insort
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +51,6 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.slots: dict[str, int] = {}
         self.flat, self.at, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
@@ -72,18 +70,22 @@ class WordIds:
     def _learn(self, words: list[str]) -> None:
         n = len(self.slots)
         end = int(self.at[n])
-        for k in range(0, len(words), 10_000):  # bounds what the encoder holds at once
-            part = words[k : k + 10_000]
-            ids = [x.ids for x in self._encode(part, add_special_tokens=False)]
-            flat = np.fromiter(chain.from_iterable(ids), np.uint32)
+        for k in range(0, len(words), 2000):  # bounds what the encoder holds at once
+            part = words[k : k + 2000]
+            # one text of many words costs less than as many texts; a token's word is where its first character lies
+            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            flat = np.array(got.ids, np.uint32)
+            begins = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
+            first = np.fromiter((a for a, _ in got.offsets), np.int64, len(flat))
+            ends = np.cumsum(np.bincount(np.searchsorted(begins, first, "right"), minlength=len(part)))
             while end + len(flat) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while n + len(ids) + 1 > len(self.at):
+            while n + len(part) + 1 > len(self.at):
                 self.at, self.used = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.used))
             self.flat[end : end + len(flat)] = flat
-            self.at[n + 1 : n + 1 + len(ids)] = end + np.cumsum([len(x) for x in ids])
-            self.slots.update(zip(part, range(n, n + len(ids)), strict=True))
-            n, end = n + len(ids), end + len(flat)
+            self.at[n + 1 : n + 1 + len(part)] = end + ends
+            self.slots.update(zip(part, range(n, n + len(part)), strict=True))
+            n, end = n + len(part), end + len(flat)
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where those of each text begin (one more for the end)."""
