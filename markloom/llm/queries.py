@@ -57,6 +57,13 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.license_scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from markloom.llm import op9_quality as op
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return op.classify(docs.select("doc_id", "text", "source", "lang"), labels, *op.sites_of_documents())
+
+
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from markloom.llm import op10_digest as op
 
@@ -72,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_lm_score": op6_lm_score,
     "op7_best_fit": op7_best_fit,
     "op8_license_scan": op8_license_scan,
+    "op9_quality": op9_quality,
     "op10_fingerprint": op10_fingerprint,
 }
 
