@@ -59,6 +59,11 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sent_if_small(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A written table of ids, marked for broadcast where its row count allows it; else Spark shuffles it."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def slices(batches, column: str, most_bytes: int = 4_000_000):
     """Cuts record batches so that the named text column has about most_bytes a piece (a longer text comes alone)."""
     for batch in batches:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markloom.llm.common import ascii_lower
+from markloom.llm.common import Workspace, ascii_lower, sent_if_small
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CHUNK = 8192
@@ -109,8 +109,10 @@ def report(leaks: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     """Document mode: rows of docs without any hit, with all their columns."""
-    clean = find_leaks(docs, items, n).filter(F.size("spans") == 0).select("rid")
-    return docs.withColumn("rid", F.monotonically_increasing_id()).join(clean, "rid", "left_semi").drop("rid")
+    ws = Workspace(docs.sparkSession, "leaks")
+    leaked = ws.save(find_leaks(docs, items, n).filter(F.size("spans") > 0).select("rid"), "leaked")
+    rows = docs.withColumn("rid", F.monotonically_increasing_id())
+    return rows.join(sent_if_small(leaked), "rid", "left_anti").drop("rid")
 
 
 def blank_spans(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markloom.llm.common import Workspace, flow, slices
+from markloom.llm.common import Workspace, flow, sent_if_small, slices
 from markloom.llm.components import components
 
 SHINGLE, MOST, SEGMENTS = 4, 4, 3
@@ -236,6 +236,7 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component, with all columns. Rows of a null doc_id stay."""
+    ws = Workspace(docs.sparkSession, "near")
     ids = simhash_components(docs, shingle, most)
-    gone = ids.filter("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = ws.save(ids.filter("doc_id != component_id").select("doc_id").distinct(), "gone")
+    return docs.join(sent_if_small(gone), "doc_id", "left_anti")
