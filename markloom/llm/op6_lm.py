@@ -18,7 +18,7 @@ Scoring. A word's lattice value needs only the pieces. Its count is needed by th
 frequent, are joined with the counts table. No word is hot in that join.
 
 Lattices of many words are computed at once: words of equal length are a matrix of code points, and substrings are
-looked up by rolling hashes in an open-addressing table (two hashes of 64 bits).
+looked up at once by 64-bit rolling hashes in an open-addressing table.
 
 Null text: empty; it has the end token alone. A null doc_id's hash is that of an empty text. Repeated rows each
 give a row. Extra columns are ignored; an empty table gives an empty result.
@@ -43,7 +43,7 @@ PRIOR = 0.1
 #: Longer words go one by one, not by matrix.
 MATRIX_CHARS = 48
 MARK = "▁"
-_B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_U, _BASE, _LOW = np.uint64, np.uint64(0x9E3779B97F4A7C15), -1e300
 
 
 def default_vocabulary() -> str:
@@ -78,109 +78,82 @@ class Lattice:
 
     def __init__(self, path: str, log_p: np.ndarray):
         self.pieces, _, self.byte = vocabulary(path)
-        self.log_p = log_p
+        self.log_p = np.append(log_p, _LOW)  # the last one stands for no piece
         self.index = {p: i for i, p in enumerate(self.pieces)}
         self.longest = max(map(len, self.pieces))
-        h1 = np.zeros(len(self.pieces), np.uint64)
-        h2 = np.zeros(len(self.pieces), np.uint64)
-        with np.errstate(over="ignore"):
-            for i, p in enumerate(self.pieces):
-                a, b = np.uint64(len(p)), np.uint64(len(p))
-                for c in map(ord, p):
-                    a, b = a * _B1 + np.uint64(c), b * _B2 + np.uint64(c)
-                h1[i], h2[i] = a, b
-        self.bits = np.uint64(max(4, (4 * len(h1) - 1).bit_length()))
-        size = 1 << int(self.bits)
-        self.keys, self.ids = np.zeros((size, 2), np.uint64), np.full(size, -1, np.int64)
-        slot, left = self._slot(h1), np.arange(len(h1))
-        self.probes = 0
+        self.power = np.multiply.accumulate(np.concatenate([[_U(1)], np.full(MATRIX_CHARS, _BASE)]))
+        self.back = np.multiply.accumulate(np.concatenate([[_U(1)], np.full(MATRIX_CHARS, _U(pow(int(_BASE), -1, 1 << 64)))]))
+        h = np.zeros(len(self.pieces), np.uint64)
+        for i, p in enumerate(self.pieces):
+            points = np.array([ord(c) for c in p], np.uint64)
+            h[i] = (points * self.power[: len(p)]).sum(dtype=np.uint64)
+        self.bits = _U((4 * len(h) - 1).bit_length())
+        self.last = (1 << int(self.bits)) - 1
+        self.keys, self.ids = np.zeros(self.last + 1, np.uint64), np.full(self.last + 1, -1, np.int64)
+        slot, left = self._slot(h), np.arange(len(h))
         while len(left):
-            self.probes += 1
             free = left[self.ids[slot[left]] < 0]
             _, first = np.unique(slot[free], return_index=True)
             put = free[first]
-            self.ids[slot[put]], self.keys[slot[put], 0], self.keys[slot[put], 1] = put, h1[put], h2[put]
+            self.ids[slot[put]], self.keys[slot[put]] = put, h[put]
             left = np.setdiff1d(left, put, assume_unique=True)
-            slot[left] = (slot[left] + 1) & (size - 1)
+            slot[left] = (slot[left] + 1) & self.last
 
     def _slot(self, h: np.ndarray) -> np.ndarray:
-        return ((h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> (np.uint64(64) - self.bits)).astype(np.int64)
+        return ((h ^ (h >> _U(29))) * _U(0x94D049BB133111EB) >> (_U(64) - self.bits)).astype(np.int64)
 
-    def _find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    def _find(self, h: np.ndarray) -> np.ndarray:
         """Piece ids, -1 where there is none."""
-        slot, out = self._slot(h1), np.full(len(h1), -1, np.int64)
-        live = np.arange(len(h1))
-        for _ in range(self.probes):
-            at = slot[live]
-            got = self.ids[at]
-            same = (got >= 0) & (self.keys[at, 0] == h1[live]) & (self.keys[at, 1] == h2[live])
-            out[live[same]] = got[same]
-            live = live[(got >= 0) & ~same]
-            if not len(live):
-                break
-            slot[live] = (slot[live] + 1) & (len(self.ids) - 1)
+        slot = self._slot(h)
+        got = self.keys[slot]
+        out = np.where(got == h, self.ids[slot], -1)
+        live = np.flatnonzero((got != h) & (got != 0))
+        slot, h = slot[live], h[live]
+        while len(live):
+            slot = (slot + 1) & self.last
+            got = self.keys[slot]
+            same = got == h
+            out[live[same]] = self.ids[slot[same]]
+            on = ~same & (got != 0)
+            live, slot, h = live[on], slot[on], h[on]
         return out
 
     def _spelled(self, char: str) -> list[int]:
         return [int(self.byte[b]) for b in char.encode("utf-8", "surrogatepass")]
 
-    def _arcs(self, points: np.ndarray):
-        """Of a matrix of code points: (end, length, piece ids of all rows) for each, and spelled characters (end, row, ids)."""
-        n, width = points.shape
-        spelled: list[tuple[int, np.ndarray, list[int]]] = []
-        with np.errstate(over="ignore"):
-            for end in range(1, width + 1):
-                for k in range(1, min(end, self.longest) + 1):
-                    h1 = np.full(n, k, np.uint64)
-                    h2 = np.full(n, k, np.uint64)
-                    for c in range(end - k, end):
-                        h1, h2 = h1 * _B1 + points[:, c], h2 * _B2 + points[:, c]
-                    ids = self._find(h1, h2)
-                    if k == 1:
-                        for c in np.unique(points[ids < 0, end - 1]):
-                            spelled.append((end, np.flatnonzero((points[:, end - 1] == c) & (ids < 0)), self._spelled(chr(int(c)))))
-                    if (ids >= 0).any():
-                        yield end, k, ids
-        self._last_spelled = spelled
-
     def _matrix(self, points: np.ndarray, weight: np.ndarray | None, into: np.ndarray | None) -> np.ndarray:
-        n, width = points.shape
-        arcs = list(self._arcs(points))
-        spelled = self._last_spelled
-        low = -1e300
-        alpha = np.full((width + 1, n), low)
-        alpha[0] = 0
-        values = [np.where(ids >= 0, self.log_p[np.maximum(ids, 0)], low) for _, _, ids in arcs]
-        # arcs come by end, so alpha of every start is final when it is read
-        by_end: dict[int, list[int]] = {}
-        for i, (end, _, _) in enumerate(arcs):
-            by_end.setdefault(end, []).append(i)
-        spelled_at: dict[int, list[tuple[np.ndarray, list[int]]]] = {}
-        for end, rows, ids in spelled:
-            spelled_at.setdefault(end, []).append((rows, ids))
-        for end in range(1, width + 1):
-            for i in by_end.get(end, ()):
-                alpha[end] = np.logaddexp(alpha[end], alpha[end - arcs[i][1]] + values[i])
-            for rows, ids in spelled_at.get(end, ()):
-                alpha[end, rows] = np.logaddexp(alpha[end, rows], alpha[end - 1, rows] + self.log_p[ids].sum())
+        """Words of one length, as a row of code points for each character's place."""
+        width, n = points.shape
+        arcs = [(e - k, e) for e in range(1, width + 1) for k in range(1, min(e, self.longest) + 1)]
+        start, end = np.array(arcs).T
+        prefix = np.zeros((width + 1, n), np.uint64)
+        np.cumsum(points * self.power[:width, None], axis=0, out=prefix[1:])
+        h = (prefix[end] - prefix[start]) * self.back[start, None]
+        ids = self._find(h.ravel()).reshape(h.shape)
+        value = self.log_p[ids]
+        # characters that are no piece are spelled by their bytes
+        spelled: list[tuple[int, np.ndarray, list[int]]] = []
+        for i in np.flatnonzero(end - start == 1):
+            odd = np.flatnonzero(ids[i] < 0)
+            for c in np.unique(points[end[i] - 1, odd]):
+                rows = odd[points[end[i] - 1, odd] == c]
+                own = self._spelled(chr(int(c)))
+                value[i, rows] = self.log_p[own].sum()
+                spelled.append((int(i), rows, own))
+        alpha = np.zeros((width + 1, n))
+        for e in range(1, width + 1):
+            own = np.flatnonzero(end == e)
+            alpha[e] = _log_sum(alpha[start[own]] + value[own])
         if into is not None:
-            beta = np.full((width + 1, n), low)
-            beta[width] = 0
-            for end in range(width, 0, -1):
-                for i in by_end.get(end, ()):
-                    k = arcs[i][1]
-                    beta[end - k] = np.logaddexp(beta[end - k], beta[end] + values[i])
-                for rows, ids in spelled_at.get(end, ()):
-                    beta[end - 1, rows] = np.logaddexp(beta[end - 1, rows], beta[end, rows] + self.log_p[ids].sum())
-            for i, (end, k, ids) in enumerate(arcs):
-                own = ids >= 0
-                share = np.exp(np.minimum(0, alpha[end - k, own] + values[i][own] + beta[end, own] - alpha[width, own]))
-                into += np.bincount(ids[own], share * weight[own], minlength=len(into))
-            for end, rows, ids in spelled:
-                p = self.log_p[ids].sum()
-                share = np.exp(np.minimum(0, alpha[end - 1, rows] + p + beta[end, rows] - alpha[width, rows]))
-                for j in ids:
-                    into[j] += (share * weight[rows]).sum()
+            beta = np.zeros((width + 1, n))
+            for s in range(width - 1, -1, -1):
+                own = np.flatnonzero(start == s)
+                beta[s] = _log_sum(beta[end[own]] + value[own])
+            share = np.exp(np.minimum(0, alpha[start] + value + beta[end] - alpha[width])) * weight
+            into += np.bincount(ids.ravel() + 1, share.ravel(), minlength=len(into) + 1)[1:]
+            for i, rows, own in spelled:
+                for j in own:
+                    into[j] += share[i, rows].sum()
         return alpha[width]
 
     def _single(self, word: str, weight: float, into: np.ndarray | None) -> float:
@@ -222,14 +195,20 @@ class Lattice:
                 for i in own.tolist():
                     out[i] = self._single(marked[i], 0.0 if weight is None else float(weight[i]), into)
                 continue
-            for k in range(0, len(own), 20_000):
-                part = own[k : k + 20_000]
+            step = max(64, 1_000_000 // (int(width) * min(int(width), self.longest)))
+            for k in range(0, len(own), step):
+                part = own[k : k + step]
                 flat = "".join([marked[i] for i in part.tolist()]).encode("utf-32-le", "surrogatepass")
-                points = np.frombuffer(flat, np.uint32).reshape(len(part), width).astype(np.uint64)
+                points = np.ascontiguousarray(np.frombuffer(flat, np.uint32).reshape(len(part), width).T.astype(np.uint64))
                 out[part] = self._matrix(points, None if weight is None else weight[part], into)
         return out
 
 
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    top = x.max(axis=0)
+    return top + np.log(np.exp(x - top).sum(axis=0))
+
+
 def _count_batches(batches):
     for b in slices(batches, "text", 8_000_000):
         codes, names, _ = words_of(pc.ascii_lower(pc.fill_null(b.column("text"), "")))
@@ -245,9 +224,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def _expect(path: str, log_p: np.ndarray):
     def run(batches):
-        lattice, into = Lattice(path, log_p), np.zeros(len(log_p))
+        lattice, into, held = Lattice(path, log_p), np.zeros(len(log_p)), []
         for b in batches:
-            lattice.words(b.column("word").to_pylist(), np.ones(b.num_rows), into)
+            held += b.column("word").to_pylist()
+            if len(held) >= 100_000:  # fuller matrices
+                lattice.words(held, np.ones(len(held)), into)
+                held = []
+        lattice.words(held, np.ones(len(held)), into)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(into))), pa.array(into)], names=["piece", "e"])
 
     return run
