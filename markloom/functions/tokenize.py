@@ -10,7 +10,7 @@ or a tag that the end of the document cuts short; what is behind it isn't looked
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markloom.functions import classes as c
@@ -81,22 +81,26 @@ def _text(lexeme: Column) -> Column:
     return F.when(value != "", F.array(_token("TEXTCONTENT", value))).otherwise(_none())
 
 
-def _good(parts: Column) -> Column:
+def _good(parts: Column, bad: Column | None = None) -> Column:
     """Lexemes before the bare `<`; without one, all but a last run of text, which is never emitted."""
-    bad = F.array_position(parts, "<")
+    bad = F.array_position(parts, "<") if bad is None else bad
     last = F.element_at(parts, -1)
     end = F.when(F.size(parts) == 0, 0).when(~last.startswith("<"), F.size(parts) - 1).otherwise(F.size(parts))
     return F.slice(parts, F.lit(1), F.when(bad > 0, bad - 1).otherwise(end).cast("int"))
 
 
+def _of_lexemes(good: Column) -> Column:
+    return F.flatten(F.transform(good, lambda x: F.when(x.startswith("<"), _tag(x)).otherwise(_text(x))))
+
+
 def whole_tokens(parts: Column) -> Column:
     """Tokens of the lexemes before the failing or unfinished tag."""
-    return F.flatten(F.transform(_good(parts), lambda x: F.when(x.startswith("<"), _tag(x)).otherwise(_text(x))))
+    return _of_lexemes(_good(parts))
 
 
-def remainder(text: Column, parts: Column) -> Column:
+def remainder(text: Column, parts: Column, bad: Column | None = None) -> Column:
     """offset, rest: from the first bare `<` on; null without one."""
-    bad = F.array_position(parts, "<").cast("int")
+    bad = (F.array_position(parts, "<") if bad is None else bad).cast("int")
     before = F.aggregate(F.slice(parts, F.lit(1), bad - 1), F.lit(0), lambda a, x: a + F.length(x))
     return F.when(bad > 0, F.struct(before.alias("offset"), F.substring(text, before + 1, F.length(text)).alias("rest")))
 
@@ -130,6 +134,27 @@ def tokens(text: Column, with_partial: bool = False) -> Column:
     return F.concat(whole_tokens(parts), more)
 
 
+def split_up(df: DataFrame, keep: list[str], text: Column) -> DataFrame:
+    """keep's columns, good (lexemes that give whole tokens) and left (as of remainder()).
+
+    Step by step, so that Spark evaluates each once: what is used twice is not merged into its users.
+    """
+    df = df.select(*keep, text.alias("text"))
+    df = df.select(*keep, "text", lexemes(F.col("text")).alias("parts"))
+    df = df.select(*keep, "text", "parts", F.array_position("parts", "<").alias("bad"))
+    bad = F.col("bad")
+    return df.select(*keep, _good(F.col("parts"), bad).alias("good"), remainder(F.col("text"), F.col("parts"), bad).alias("left"))
+
+
+def tokenized(df: DataFrame, keep: list[str], text: Column, with_partial: bool = False) -> DataFrame:
+    """keep's columns and all: the array that tokens() gives."""
+    rest = F.col("left.rest")
+    df = split_up(df, keep, text).select(*keep, "good", "left", error(rest).alias("wrong"))
+    more = F.when(rest.isNotNull() & (F.lit(with_partial) | F.col("wrong").isNull()), partial_tokens(rest, F.col("wrong"))).otherwise(_none())
+    whole = _of_lexemes(F.col("good"))
+    return df.select(*keep, F.when(F.col("left").isNull(), whole).otherwise(F.concat(whole, more)).alias("all"))
+
+
 def accepted(text: Column) -> Column:
     """Whether the document stays in the dialect (a tag cut short by the end does)."""
     rest = remainder(text, lexemes(text))["rest"]

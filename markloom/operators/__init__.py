@@ -21,14 +21,19 @@ def normalized(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("sanitized_count", error_count(F.col(text))).withColumn(text, preprocess(F.col(text)))
 
 
+def exploded(df: DataFrame, keep: list[str], name: str) -> DataFrame:
+    """posexplode of `all`. The outer form with a filter behind it: for the inner one Spark adds a filter on the
+    array before it, and pushing that down evaluates all the expressions that make the array once more."""
+    return df.select(*keep, F.posexplode_outer("all").alias("pos", name)).filter(F.col("pos").isNotNull())
+
+
 def lexeme_rows(docs: DataFrame, key: str, text: Column) -> DataFrame:
-    return docs.select(key, F.posexplode(tk.lexemes(text)).alias("pos", "lexeme"))
+    return exploded(docs.select(key, tk.lexemes(text).alias("all")), [key], "lexeme")
 
 
 def token_rows(docs: DataFrame, key: str, text: Column) -> DataFrame:
     """key, pos, kind, value: a row per token, in the order of pos."""
-    parts = docs.select(key, text.alias("text")).withColumn("all", tk.tokens(F.col("text")))
-    return parts.select(key, F.posexplode("all").alias("pos", "t")).select(key, "pos", "t.kind", "t.value")
+    return tk.tokenized(docs, [key], text).transform(exploded, [key], "t").select(key, "pos", "t.kind", "t.value")
 
 
 def of_kind(tokens: DataFrame, kind: str) -> DataFrame:
@@ -37,9 +42,9 @@ def of_kind(tokens: DataFrame, kind: str) -> DataFrame:
 
 def token_errors(docs: DataFrame, key: str, text: Column) -> DataFrame:
     """key, error, offset (of the character where it shows): a row per document that leaves the dialect."""
-    rows = docs.select(key, text.alias("text")).withColumn("r", tk.remainder(F.col("text"), tk.lexemes(F.col("text"))))
-    rows = rows.filter(F.col("r").isNotNull()).withColumn("e", tk.error(F.col("r.rest"))).filter(F.col("e").isNotNull())
-    return rows.select(key, F.col("e.code").alias("error"), (F.col("r.offset") + F.col("e.size") - 1).alias("offset"))
+    rows = tk.split_up(docs, [key], text).filter(F.col("left").isNotNull())
+    rows = rows.select(key, "left", tk.error(F.col("left.rest")).alias("e")).filter(F.col("e").isNotNull())
+    return rows.select(key, F.col("e.code").alias("error"), (F.col("left.offset") + F.col("e.size") - 1).alias("offset"))
 
 
 def histogram(tokens: DataFrame, key: str) -> DataFrame:
@@ -48,16 +53,17 @@ def histogram(tokens: DataFrame, key: str) -> DataFrame:
 
 def page_histogram(docs: DataFrame, key: str, text: Column) -> DataFrame:
     """Like histogram(token_rows(...)) where key is unique, but counted in the row: no shuffle and no row per token."""
-    rows = docs.select(key, text.alias("text")).withColumn("all", F.transform(tk.tokens(F.col("text")), lambda t: t["kind"]))
+    rows = tk.tokenized(docs, [key], text).select(key, F.col("all.kind").alias("all"))
     each = F.array(*[F.struct(F.lit(k).alias("kind"), F.size(F.filter("all", F.lit(k).__eq__)).cast("long").alias("n")) for k in tk.KINDS])
-    return rows.select(key, F.explode(F.filter(each, lambda x: x["n"] > 0)).alias("c")).select(key, "c.kind", "c.n")
+    counts = rows.select(key, F.filter(each, lambda x: x["n"] > 0).alias("all"))
+    return exploded(counts, [key], "c").select(key, "c.kind", "c.n")
 
 
 def pattern_counts(docs: DataFrame, key: str, content: Column, text: Column) -> DataFrame:
     """key, name, n for every pattern of the catalogue that matches."""
     each = [F.struct(F.lit(p.name).alias("name"), pt.match_count(p, content if p.domain == "byte" else text).cast("long").alias("n")) for p in pt.CATALOGUE]
-    rows = docs.select(key, F.explode(F.array(*each)).alias("m"))
-    return rows.select(key, "m.name", "m.n").filter("n > 0")
+    rows = docs.select(key, F.filter(F.array(*each), lambda m: m["n"] > 0).alias("all"))
+    return exploded(rows, [key], "m").select(key, "m.name", "m.n")
 
 
 def pattern_results(docs: DataFrame, key: str, content: Column, text: Column) -> DataFrame:

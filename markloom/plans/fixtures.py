@@ -45,12 +45,15 @@ def corrupted(text: Column) -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return _spread(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages, spread over the cores where the file gives fewer partitions: the work per byte is high."""
-    df = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
+    return _spread(spark, spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"))
+
+
+def _spread(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Over the cores, where the files give fewer partitions (small tables only): the work per byte is high."""
     want = spark.sparkContext.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
