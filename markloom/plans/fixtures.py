@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 _STRIPPED = (r"(?s)<!--.*?-->", r"(?s)<script>.*?</script>", r"(?s)<style>.*?</style>")
 _QUOTED, _VALUED = r'="[^"]*"', r'="([A-Za-z0-9]*)[^"]*"'
+#: Tags that close themselves in the valued form.
+_VOID = r"<(meta|link|img|br|li)( [^<>/]*)?>"
 
 
 def _strip(html: Column) -> Column:
@@ -21,13 +23,13 @@ def strict(html: Column) -> Column:
 
 
 def valued(html: Column) -> Column:
-    """Like strict, but what is alphanumeric at the start of a value stays."""
-    return F.regexp_replace(_strip(html), F.lit(_VALUED), F.lit("=$1"))
+    """Like strict, but what is alphanumeric at the start of a value stays, and some tags close themselves."""
+    return F.regexp_replace(F.regexp_replace(_strip(html), F.lit(_VALUED), F.lit("=$1")), F.lit(_VOID), F.lit("<$1$2/>"))
 
 
 def cut(html: Column) -> Column:
-    """valued, cut off before its last seven characters, and after a tag that opens itself there on even page ids."""
-    return F.substring(valued(html), F.lit(1), F.length(valued(html)) - 7)
+    """valued, cut off before its last seven characters."""
+    return F.regexp_replace(valued(html), F.lit(r"(?s).{0,7}\z"), F.lit(""))
 
 
 def injected(text: Column) -> Column:
@@ -66,8 +68,8 @@ def _sql_strip() -> str:
 
 
 SQL_STRICT = f"regexp_replace({_sql_strip()}, '{_QUOTED}', '', 'g')"
-SQL_VALUED = rf"regexp_replace({_sql_strip()}, '{_VALUED}', '=\1', 'g')"
-SQL_CUT = f"substring({SQL_VALUED}, 1, greatest(length({SQL_VALUED}) - 7, 0))"
+SQL_VALUED = rf"regexp_replace(regexp_replace({_sql_strip()}, '{_VALUED}', '=\1', 'g'), '{_VOID}', '<\1\2/>', 'g')"
+SQL_CUT = f"regexp_replace({SQL_VALUED}, '(?s).{{0,7}}\\z', '')"
 SQL_INJECTED = "replace(replace(replace(replace(text, '. ', '.' || chr(13) || chr(10)), ', ', ',' || chr(13)), 'a', 'a' || chr(133)), 'o ', 'o' || chr(64976))"
 _H = "hex(encode(text))"
 SQL_CORRUPTED_HEX = f"concat(substr({_H}, 1, 20), 'E282', substr({_H}, 21, 40), 'F5', substr({_H}, 61, 10), 'C0', substr({_H}, 71))"
