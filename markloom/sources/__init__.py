@@ -11,7 +11,7 @@ FILE_SCHEMA = "path string, modificationTime timestamp, length long, content bin
 
 
 def binary_files(spark: SparkSession, path: str | list[str], pattern: str | None = None) -> DataFrame:
-    """One row per file with its bytes. A missing path is an error."""
+    """One row per file with its bytes; an empty file gives none. A missing path is an error."""
     reader = spark.read.format("binaryFile")
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
 
