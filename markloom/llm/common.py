@@ -20,7 +20,19 @@ WORD_BYTES = bytes(
 )
 
 
+#: Bytes of an Arrow batch; ten thousand rows, the other limit, can be far more where texts are long.
+ARROW_BYTES = 8 << 20
+
+
+def tune(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, unless the session says something itself."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if (spark.conf.get(key) or "").startswith(str(64 << 20)):  # Spark's default
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    tune(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -46,6 +58,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        tune(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -84,6 +97,23 @@ def flow(spark: SparkSession, factor: int = 1) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")) * factor)
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """make()'s result, kept by a Python worker for its next task under this key. A worker keeps one at a time:
+    workers outlive their tasks, so what an earlier operator kept would stay beside what the next one needs."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def let_go() -> None:
+    """Frees what an earlier operator's tasks kept in this worker."""
+    _HELD.clear()
+
+
 class WordCache:
     """Rows of numbers by word, for the words of whole batches: computed once a worker, looked up by dictionary codes.
 

@@ -18,7 +18,6 @@ rows each give a row. Extra columns are ignored; an empty table gives an empty r
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markloom.llm.common import WordCache, id_hash_remainder, slices, sums
+from markloom.llm.common import WordCache, held, id_hash_remainder, slices, sums
 
 DOCS_EACH, CHARS_EACH = 64, 400
 UNKNOWN = "und"
@@ -73,7 +72,6 @@ class SuffixAutomaton:
         return n + (state > 0)
 
 
-@lru_cache(maxsize=2)
 def _learned(samples: tuple[tuple[str, str], ...]) -> tuple[WordCache, np.ndarray]:
     automata = [SuffixAutomaton(text) for _, text in samples]
     count = lambda words: np.array([[a.phrases(" " + w) for a in automata] for w in words], np.int32)
@@ -102,7 +100,7 @@ def _predict(samples: tuple[tuple[str, str], ...]):
     names = [k for k, _ in samples] or [UNKNOWN]
 
     def run(batches):
-        cache, price = _learned(samples)
+        cache, price = held(("language", samples), lambda: _learned(samples))
         for b in slices(batches, "text"):
             text = b.column("text")
             known = np.array([bool(t) and any(map(str.isalpha, t)) for t in text.to_pylist()], bool)

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markloom.llm.common import Workspace, flow, slices
+from markloom.llm.common import Workspace, flow, let_go, slices
 
 N, K, HOT = 200, 50, 4096
 #: Windows of one pass of numpy, and symbols of one suffix array.
@@ -129,6 +129,7 @@ def _long(x: np.ndarray) -> pa.Array:
 
 def _anchors(n: int, k: int):
     def run(batches):
+        let_go()
         for b in slices(batches, "text", _CHUNK):
             owner, s0, s1, h, d = blocks_of(*_flat(b.column("text")), n, k)
             cols = [_long(h), _long(d), b.column("rid").take(pa.array(owner)), pa.array(s0.astype(np.int32)), pa.array(s1.astype(np.int32))]
@@ -222,6 +223,7 @@ def _sort_blocks(n: int):
         return pa.RecordBatch.from_arrays(cols, names=["rid", "start", "stop"])
 
     def run(batches):
+        let_go()
         kept: list[pa.RecordBatch] = []
         held, last = 0, None
         for b in batches:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markloom.llm.common import Workspace, flow, sent_if_small, slices
+from markloom.llm.common import Workspace, flow, let_go, sent_if_small, slices
 from markloom.llm.components import components
 
 SHINGLE, MOST, SEGMENTS = 4, 4, 3
@@ -69,6 +69,7 @@ def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
 
 def _fingerprints(shingle: int):
     def run(batches):
+        let_go()
         for b in slices(batches, "text"):
             texts = b.column("text").cast(pa.binary()).to_pylist()
             got = [fingerprint_of(shingle_hashes(t or b"", shingle)) for t in texts]

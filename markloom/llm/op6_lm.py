@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markloom.llm.common import WordCache, Workspace, id_hash_remainder, slices, sums, words_of
+from markloom.llm.common import WordCache, Workspace, held, id_hash_remainder, let_go, slices, sums, words_of
 
 ROUNDS, COMMON = 2, 300_000
 #: Added to each expected piece count.
@@ -224,13 +224,14 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def _expect(path: str, log_p: np.ndarray):
     def run(batches):
-        lattice, into, held = Lattice(path, log_p), np.zeros(len(log_p)), []
+        let_go()
+        lattice, into, words = Lattice(path, log_p), np.zeros(len(log_p)), []
         for b in batches:
-            held += b.column("word").to_pylist()
-            if len(held) >= 100_000:  # fuller matrices
-                lattice.words(held, np.ones(len(held)), into)
-                held = []
-        lattice.words(held, np.ones(len(held)), into)
+            words += b.column("word").to_pylist()
+            if len(words) >= 100_000:  # fuller matrices
+                lattice.words(words, np.ones(len(words)), into)
+                words = []
+        lattice.words(words, np.ones(len(words)), into)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(into))), pa.array(into)], names=["piece", "e"])
 
     return run
@@ -281,7 +282,8 @@ def _score_batches(model: str, path: str, log_p, known, below: float, discounted
                 mixed = np.logaddexp(np.log(whole), math.log(rest) + spelled * math.log(10)) / math.log(10)
             return np.stack([np.where(c >= 0, mixed, spelled), c], 1)
 
-        cache = _cache_of(model, compute)
+        cache = held(("lm", model), lambda: WordCache(compute, limit=500_000))
+        cache.compute = compute
         for b in slices(batches, "text"):
             values, at, names, codes = cache.of(b.column("text"))
             docs = len(at) - 1
@@ -310,18 +312,6 @@ def _score_batches(model: str, path: str, log_p, known, below: float, discounted
     return run
 
 
-_CACHES: dict[str, WordCache] = {}
-
-
-def _cache_of(key: str, compute) -> WordCache:
-    """The cache of this model, kept by the worker for its next task."""
-    if key not in _CACHES:
-        _CACHES.clear()
-        _CACHES[key] = WordCache(compute, limit=500_000)
-    _CACHES[key].compute = compute
-    return _CACHES[key]
-
-
 def score(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS, common: int = COMMON) -> DataFrame:
     """doc_id, held_out (never learned from), text to n_tokens, n_known, train_tokens, base_score, score (log10)."""
     spark, path = docs.sparkSession, path or default_vocabulary()

@@ -21,7 +21,6 @@ from __future__ import annotations
 import os
 import zlib
 from bisect import bisect_left, insort
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from markloom.llm.common import Workspace, slices
+from markloom.llm.common import Workspace, held, slices
 
 CAPACITY, END_ID = 2048, 0
 #: Words whose ids a worker keeps; beyond that it forgets the half that was needed least. Bounds memory, not results.
@@ -106,10 +105,9 @@ class WordIds:
         return out, ends[offsets - offsets[0]]
 
 
-@lru_cache(maxsize=1)
 def word_ids(path: str) -> WordIds:
     """One for all tasks of a Python worker."""
-    return WordIds(path)
+    return held(("ids", path), lambda: WordIds(path))
 
 
 def _pieces(path: str, capacity: int, end_id: int):

@@ -23,14 +23,13 @@ them); an empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markloom.llm.common import WORD_BYTES, WordCache, Workspace, slices, sums
+from markloom.llm.common import WORD_BYTES, WordCache, Workspace, held, slices, sums
 
 SAMPLE = 12_000
 #: Labels of a good document.
@@ -56,9 +55,8 @@ def _word_rows(words: list[str]) -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=1)
 def _cache() -> WordCache:
-    return WordCache(_word_rows, limit=400_000)
+    return held("quality", lambda: WordCache(_word_rows, limit=400_000))
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
 def _score_batches(model):
     def run(batches):
         m = model.value
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 2_000_000):
             p = evidence(m, *features(b.column("text")))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], names=[*b.schema.names, "evidence"])
 
