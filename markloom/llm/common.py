@@ -50,6 +50,19 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def masked(docs: DataFrame, **more: Column) -> DataFrame:
+    """docs with doc_id and text under their names and all other columns as x_0, x_1, ... (and more columns),
+    so that what an operator adds can't clash with what the rows bring along."""
+    names = {"doc_id", "text"}
+    own = [F.col(f"`{c}`").alias(c if c in names else f"x_{i}") for i, c in enumerate(docs.columns)]
+    return docs.select(*own, *[c.alias(k) for k, c in more.items()])
+
+
+def unmasked(df: DataFrame, columns: list[str]) -> DataFrame:
+    names = {"doc_id", "text"}
+    return df.select(*[F.col(c if c in names else f"x_{i}").alias(c) for i, c in enumerate(columns)])
+
+
 class Workspace:
     """Tables written to the shared folder to cut lineage: they survive a lost executor, unlike cached blocks.
 

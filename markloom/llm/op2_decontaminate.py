@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markloom.llm.common import Workspace, ascii_lower, sent_if_small
+from markloom.llm.common import Workspace, ascii_lower, masked, sent_if_small, unmasked
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CHUNK = 8192
@@ -111,14 +111,15 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFra
     """Document mode: rows of docs without any hit, with all their columns."""
     ws = Workspace(docs.sparkSession, "leaks")
     leaked = ws.save(find_leaks(docs, items, n).filter(F.size("spans") > 0).select("rid"), "leaked")
-    rows = docs.withColumn("rid", F.monotonically_increasing_id())
-    return rows.join(sent_if_small(leaked), "rid", "left_anti").drop("rid")
+    rows = masked(docs, rid=F.monotonically_increasing_id())
+    return unmasked(rows.join(sent_if_small(leaked), "rid", "left_anti"), docs.columns)
 
 
 def blank_spans(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
-    """Span mode: doc_id and the words left, joined by blanks, where something was hit; other texts are unchanged."""
+    """Span mode: texts where something was hit become the words left, joined by blanks; the others are unchanged."""
     leaks = find_leaks(docs, items, n).select("rid", "spans")
-    rows = docs.withColumn("rid", F.monotonically_increasing_id()).join(leaks, "rid", "left")
+    rows = masked(docs, rid=F.monotonically_increasing_id()).join(leaks, "rid", "left")
     inside = lambda i: F.exists("spans", lambda s: (s["start"] <= i) & (i < s["stop"]))
     left = F.concat_ws(" ", F.filter(words(F.col("text")), lambda w, i: ~inside(i)))
-    return rows.withColumn("text", F.when(F.size("spans") > 0, left).otherwise(F.col("text"))).drop("rid", "spans")
+    rows = rows.withColumn("text", F.when(F.size("spans") > 0, left).otherwise(F.col("text")))
+    return unmasked(rows, docs.columns)

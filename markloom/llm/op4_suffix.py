@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markloom.llm.common import Workspace, flow, let_go, slices
+from markloom.llm.common import Workspace, flow, let_go, masked, slices, unmasked
 
 N, K, HOT = 200, 50, 4096
 #: Windows of one pass of numpy, and symbols of one suffix array.
@@ -344,7 +344,8 @@ def _each(batches):
 
 
 def _with_spans(docs: DataFrame, n: int, k: int, hot: int) -> DataFrame:
-    rows = docs.withColumn("rid", F.monotonically_increasing_id())
+    """docs, masked, with rid and spans."""
+    rows = masked(docs, rid=F.monotonically_increasing_id())
     spans, _ = repeated_spans(rows.select("rid", "text"), n, k, hot)
     per = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return rows.join(per, "rid", "left")
@@ -377,7 +378,9 @@ def repeats_report(docs: DataFrame, n: int = N, k: int = K, hot: int = HOT) -> D
 
 def remove_repeats(docs: DataFrame, n: int = N, k: int = K, hot: int = HOT) -> DataFrame:
     """docs with all repeated bytes cut out of their texts; a character that is cut in part goes whole."""
-    columns = docs.columns
+    rows = _with_spans(docs, n, k, hot)
+    shape = masked(docs).schema
+    columns = shape.names
 
     def cut(batches):
         held, texts = None, []
@@ -391,7 +394,7 @@ def remove_repeats(docs: DataFrame, n: int = N, k: int = K, hot: int = HOT) -> D
         if held is not None:
             yield _replaced(held, texts, columns)
 
-    return _with_spans(docs, n, k, hot).select(*columns, "spans").mapInArrow(cut, docs.schema)
+    return unmasked(rows.select(*columns, "spans").mapInArrow(cut, shape), docs.columns)
 
 
 def _replaced(b: pa.RecordBatch, texts: list, columns: list[str]) -> pa.RecordBatch:

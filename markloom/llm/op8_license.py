@@ -142,23 +142,36 @@ TEXTS: list[tuple[str, str, str, float]] = [
 ]
 
 
+def literals(pattern: str) -> list[str]:
+    """The stretches of a pattern that any match must hold: without groups, classes and what may be left out."""
+    while (less := re.sub(r"\((?:\?:)?[^()]*\)\??|\[[^]]*\]\??", "\0", pattern)) != pattern:
+        pattern = less
+    return re.split(r"\0+", re.sub(r".\?|\\.\??|\.\{[^}]*\}\??", "\0", pattern))
+
+
+def gate(key: str, pattern: str) -> str:
+    """The keyword, or where the pattern doesn't hold it, its own longest word."""
+    sure = literals(pattern)
+    return key if any(key in x for x in sure) else max(" ".join(sure).split(), key=len)
+
+
 @lru_cache(maxsize=1)
 def rules() -> dict[bytes, list[tuple[int, re.Pattern, str, float]]]:
     """Rules by keyword: (rank, pattern, label, confidence), ranks in the order of the tables."""
     out: dict[bytes, list[tuple[int, re.Pattern, str, float]]] = {}
 
-    def add(rank: int, key: str, pattern: str, label: str, sure: float) -> None:
-        out.setdefault(key.encode(), []).append((rank, re.compile(f"(?<= )(?:{pattern})(?= )".encode()), label, sure))
+    def add(rank: int, key: str, name: str, pattern: str, label: str, sure: float) -> None:
+        out.setdefault(gate(key, name).encode(), []).append((rank, re.compile(f"(?<= )(?:{pattern})(?= )".encode()), label, sure))
 
     for label, key, pattern, sure in TEXTS:
-        add(1000, key, pattern, label, sure)
+        add(1000, key, pattern, pattern, label, sure)
     for i, (label, key, names) in enumerate(NAMES):
         for name in names:
             for form, rank, sure in FORMS:
                 if not (form.startswith("{}") and re.search(r"licen\S*(?: |\(|$)", name.split(" (?:")[0])):
-                    add(rank * 10 + ("\\d" in name or " 0" in name), key, form.format(f"(?:{name})"), label, sure)
+                    add(rank * 10 + ("\\d" in name or " 0" in name), key, name, form.format(f"(?:{name})"), label, sure)
             if " " in name and "licen" in name:
-                add(40, key, name, label, 0.7)
+                add(40, key, name, name, label, 0.7)
     return out
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markloom.llm.common import WORD_BYTES, WordCache, Workspace, held, slices, sums
+from markloom.llm.common import WORD_BYTES, WordCache, Workspace, held, masked, slices, sums, unmasked
 
 SAMPLE = 12_000
 #: Labels of a good document.
@@ -194,27 +194,21 @@ def posterior(scored: DataFrame, base: float, ws: Workspace) -> DataFrame:
     return out.withColumn("score", 1 / (1 + F.exp(-z))).withColumn("keep", F.col("score") >= 0.5)
 
 
-def _scored(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> tuple[DataFrame, float]:
-    model = train(docs.select("doc_id", "text"), labels)
-    return with_evidence(docs.withColumn("host", host).withColumn("path", path), model), model["rate"]
-
-
 def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> DataFrame:
     """doc_id, evidence, host_rate, path_rate, score, keep."""
     ws = Workspace(docs.sparkSession, "quality")
-    scored, base = _scored(docs, labels, host, path)
-    scored = ws.save(scored.select("doc_id", "host", "path", "evidence"), "scored")
-    return posterior(scored, base, ws).select("doc_id", "evidence", "host_rate", "path_rate", "score", "keep")
+    model = train(docs.select("doc_id", "text"), labels)
+    rows = docs.select("doc_id", "text", host.alias("host"), path.alias("path"))
+    scored = ws.save(with_evidence(rows, model).drop("text"), "scored")
+    return posterior(scored, model["rate"], ws).select("doc_id", "evidence", "host_rate", "path_rate", "score", "keep")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> DataFrame:
     """The rows of docs that are kept, with all columns."""
     ws = Workspace(docs.sparkSession, "quality")
-    held = {c: f"doc_{c}" for c in docs.columns if c in ("host", "path", "evidence", "host_rate", "path_rate", "score", "keep")}
-    renamed = docs.withColumnsRenamed(held) if held else docs
-    scored, base = _scored(renamed, labels, host, path)
-    kept = posterior(ws.save(scored, "scored"), base, ws).filter("keep").select(*renamed.columns)
-    return kept.withColumnsRenamed({v: k for k, v in held.items()}) if held else kept
+    model = train(docs.select("doc_id", "text"), labels)
+    scored = ws.save(with_evidence(masked(docs, host=host, path=path), model), "scored")
+    return unmasked(posterior(scored, model["rate"], ws).filter("keep"), docs.columns)
 
 
 def sites_of_documents() -> tuple[Column, Column]:
