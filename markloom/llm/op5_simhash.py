@@ -16,6 +16,12 @@ rows isn't compared: its fingerprints instead emit every value within half the d
 linked fingerprints meet (a ball of 2,081 values for 4 bits), and are tied by an aggregation. That is exact too,
 linear in the group, and no task holds it.
 
+Wider fingerprints. `words` times 64 bits estimate similarity better: two texts of Jaccard similarity J differ in
+about acos(2J / (1 + J)) / pi of the bits. There the ball that meets every pair within `most` bits may be too
+large; `radius` sets a smaller one. Pairs within (radius + 1) * segments - 1 bits are always met, those beyond
+unless each segment differs in more than radius bits. A key with over `hot` table rows is compared in a grid of
+tasks then (blocks of table rows against blocks of all rows), as balls about middles would be too large.
+
 Null text: empty. Null doc_ids take part; a component's id is its smallest doc_id. Repeated rows each give a
 row. Extra columns are ignored; an empty table gives an empty result.
 """
@@ -38,6 +44,24 @@ HOT = 16_384
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return x ^ (x >> np.uint64(33))
+
+
+def _node(fp: np.ndarray) -> np.ndarray:
+    """One number for a fingerprint of one or several columns: itself, or a 64-bit hash."""
+    out = fp[0]
+    for x in fp[1:]:
+        out = _mix(_mix(out) ^ x)
+    return out
+
+
+def bit_columns(words: int) -> list[str]:
+    return ["fp"] if words == 1 else [f"f{j}" for j in range(words)]
+
+
 def fingerprint_of(hashes: np.ndarray) -> int:
     """Majority bits of uint64 hashes, by counts of byte values: 8 histograms, not 64 passes."""
     if not len(hashes):
@@ -67,27 +91,34 @@ def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
     return np.array(got, np.uint64)
 
 
-def _fingerprints(shingle: int):
+def _fingerprints(shingle: int, words: int):
     def run(batches):
         let_go()
         for b in slices(batches, "text"):
-            texts = b.column("text").cast(pa.binary()).to_pylist()
-            got = [fingerprint_of(shingle_hashes(t or b"", shingle)) for t in texts]
-            fp = np.array(got, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+            got: list[list[int]] = [[] for _ in range(words)]
+            for t in b.column("text").cast(pa.binary()).to_pylist():
+                h = shingle_hashes(t or b"", shingle)
+                for j in range(words):  # other words by other functions of the hashes
+                    got[j].append(fingerprint_of(_mix(h + np.uint64(j * 0x9E3779B97F4A7C15 % 2**64)) if j else h))
+            fp = [np.array(x, np.uint64) for x in got]
+            cols = [_node(fp)] + (fp if words > 1 else [])
+            names = ["fp", *(bit_columns(words) if words > 1 else [])]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c.view(np.int64)) for c in cols)], names=["doc_id", *names])
 
     return run
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, words: int = 1) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long; of wider ones a hash, and the bits in f0, f1, ...)."""
+    more = "".join(f", {c} long" for c in bit_columns(words) if words > 1)
+    return docs.select("doc_id", "text").mapInArrow(_fingerprints(shingle, words), f"doc_id long, fp long{more}")
 
 
-def segment_bounds(segments: int) -> list[tuple[int, int]]:
-    """(shift, width) of each segment, widths as even as can be."""
-    cuts = [64 * i // segments for i in range(segments + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+def segment_bounds(segments: int, words: int = 1) -> list[tuple[int, int, int]]:
+    """(word, shift, width) of each segment; as many in each word, widths as even as can be."""
+    each = segments // words
+    cuts = [64 * i // each for i in range(each + 1)]
+    return [(j, a, b - a) for j in range(words) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def ball(width: int, radius: int) -> np.ndarray:
@@ -95,25 +126,36 @@ def ball(width: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(width), r)], np.uint64)
 
 
-def _probes(segments: int, most: int):
-    balls = [(s, k, w, ball(w, most // segments)) for s, (k, w) in enumerate(segment_bounds(segments))]
+def _columns(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    """A row of uint64 for each column of bits."""
+    return np.stack([batch.column(c).to_numpy().view(np.uint64) for c in names])
+
+
+def _near(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(one ^ two).sum(axis=0, dtype=np.int32)
+
+
+def _probes(segments: int, radius: int, words: int):
+    balls = [(s, j, k, w, ball(w, radius)) for s, (j, k, w) in enumerate(segment_bounds(segments, words))]
+    names = bit_columns(words)
 
     def run(batches):
         for whole in batches:
             for i in range(0, whole.num_rows, 20_000):
-                fp = whole.column("fp").slice(i, 20_000).to_numpy().view(np.uint64)
-                for s, shift, width, flips in balls:
-                    own = (fp >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+                fp = _columns(whole.slice(i, 20_000), names)
+                for s, j, shift, width, flips in balls:
+                    own = (fp[j] >> np.uint64(shift)) & np.uint64((1 << width) - 1)
                     keys = (own[:, None] ^ flips[None, :]).ravel() | (np.uint64(s) << np.uint64(40))
-                    side = np.tile(np.arange(len(flips)) > 0, len(fp)).astype(np.int8)
-                    cols = [keys.view(np.int64), side, np.repeat(fp, len(flips)).view(np.int64)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "side", "fp"])
+                    side = np.tile(np.arange(len(flips)) > 0, fp.shape[1]).astype(np.int8)
+                    cols = [keys.view(np.int64), side, *(np.repeat(x, len(flips)).view(np.int64) for x in fp)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "side", *names])
 
     return run
 
 
-def _verify(most: int, small: int = 64):
-    """Rows sorted by (key, side): table rows of a key come before its probes. Emits links, one forest a key where it is large."""
+def _verify(most: int, words: int, small: int = 64):
+    """Rows sorted by key and side: table rows of a key come before its probes. Emits links, one forest a key where it is large."""
+    names = bit_columns(words)
 
     def links(sizes, tables, fp):
         first = np.cumsum(sizes) - sizes
@@ -123,44 +165,46 @@ def _verify(most: int, small: int = 64):
             n = sizes[own] - k - 1
             a = np.repeat(first[own] + k, n)
             b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
-            near = np.bitwise_count(fp[a] ^ fp[b]) <= most
-            yield fp[a[near]], fp[b[near]]
+            near = _near(fp[:, a], fp[:, b]) <= most
+            yield fp[:, a[near]], fp[:, b[near]]
         for at, n, t in zip(first[~light], sizes[~light], tables[~light], strict=True):
-            own = fp[at : at + n]
+            own = fp[:, at : at + n]
             label = np.arange(n)
             us, vs = [], []
             for k in range(t):
-                near = np.flatnonzero(np.bitwise_count(own[k] ^ own) <= most)
+                near = np.flatnonzero(_near(own[:, k : k + 1], own) <= most)
                 found, where = np.unique(label[near], return_index=True)
                 if len(found) > 1:
                     mine = label[k]
-                    apart = found != mine
-                    us.append(np.full(apart.sum(), own[k]))
-                    vs.append(own[near[where[apart]]])
+                    other = near[where[found != mine]]
+                    us += [k] * len(other)
+                    vs += other.tolist()
                     label[np.isin(label, found)] = mine
-            if us:
-                yield np.concatenate(us), np.concatenate(vs)
+            yield own[:, us], own[:, vs]
 
     def out(sizes, tables, fp):
         found = list(links(sizes, tables, fp))
-        u = np.concatenate([x for x, _ in found] or [np.zeros(0, np.uint64)])
-        v = np.concatenate([x for _, x in found] or [np.zeros(0, np.uint64)])
+        none = np.zeros((len(names), 0), np.uint64)
+        u, v = (_node(np.concatenate([x[i] for x in found] or [none], axis=1)) for i in (0, 1))
         low, high = np.minimum(u, v), np.maximum(u, v)
         pairs = np.unique(np.stack([high, low], 1)[low != high], axis=0) if len(u) else np.zeros((0, 2), np.uint64)
         cols = [pa.array(np.ascontiguousarray(pairs[:, i]).view(np.int64)) for i in (0, 1)]
         return pa.RecordBatch.from_arrays(cols, names=["u", "v"])
 
     def run(batches):
-        rest: tuple = (np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(0, np.uint64))
+        key, side, fp = np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros((len(names), 0), np.uint64)
         for b in batches:
-            own = (b.column("key").to_numpy(), b.column("side").to_numpy(), b.column("fp").to_numpy().view(np.uint64))
-            key, side, fp = (np.concatenate(x) for x in zip(rest, own, strict=True))
-            cut = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last key may go on
-            rest = (key[cut:], side[cut:], fp[cut:])
-            if cut:
-                yield out(*_runs(key[:cut], side[:cut]), fp[:cut])
-        if len(rest[0]):
-            yield out(*_runs(rest[0], rest[1]), rest[2])
+            key = np.concatenate([key, b.column("key").to_numpy()])
+            side = np.concatenate([side, b.column("side").to_numpy()])
+            fp = np.concatenate([fp, _columns(b, names)], axis=1)
+            # the last key may go on; keys stand together, though not in the order of their numbers
+            ends = np.flatnonzero(key[1:] != key[:-1])
+            if len(ends):
+                cut = ends[-1] + 1
+                yield out(*_runs(key[:cut], side[:cut]), fp[:, :cut])
+                key, side, fp = key[cut:], side[cut:], fp[:, cut:]
+        if len(key):
+            yield out(*_runs(key, side), fp)
 
     return run
 
@@ -203,41 +247,64 @@ def _tie(most: int):
     return run
 
 
-def link_edges(distinct: DataFrame, ws: Workspace, most: int = MOST, segments: int = SEGMENTS, hot: int = HOT) -> DataFrame:
+def _grid(rows: DataFrame, heavy: DataFrame, hot: int, bits: list[str]) -> DataFrame:
+    """Rows of heavy keys, dealt to the cells of a grid: a block of table rows and a block of all rows meet in each."""
+    spread = F.pmod(F.xxhash64(*bits), F.lit(1 << 30)).cast("long")
+    rows = rows.join(heavy, "key").withColumn("own", F.col("side") == 0)
+    rows = rows.withColumn("row_block", spread % F.col("blocks")).withColumn("all_block", F.floor(spread / F.col("blocks")) % F.col("blocks"))
+    all_cells = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    as_any = rows.select("key", F.explode(all_cells).alias("r"), F.col("all_block").alias("a"), F.lit(1).cast("byte").alias("side"), *bits)
+    as_table = rows.filter("own").select("key", F.col("row_block").alias("r"), F.explode(all_cells).alias("a"), F.lit(0).cast("byte").alias("side"), *bits)
+    return as_any.unionByName(as_table).select(F.xxhash64("key", "r", "a").alias("key"), "side", *bits)
+
+
+def link_edges(distinct: DataFrame, ws: Workspace, most: int = MOST, segments: int = SEGMENTS, hot: int = HOT, words: int = 1, radius: int | None = None) -> DataFrame:
     """Edges (u, v) between distinct fingerprints `fp` that have the components of all links, not all links."""
-    spark, n = distinct.sparkSession, flow(distinct.sparkSession)
-    rows = distinct.select("fp").mapInArrow(_probes(segments, most), "key long, side byte, fp long")
+    spark, n, bits = distinct.sparkSession, flow(distinct.sparkSession), bit_columns(words)
+    if segments % words:
+        raise ValueError("segments must be a multiple of words")
+    radius = most // segments if radius is None else radius
+    schema = "key long, side byte" + "".join(f", {c} long" for c in bits)
+    rows = distinct.select(*bits).mapInArrow(_probes(segments, radius, words), schema)
     sizes = rows.filter("side = 0").groupBy("key").count()
-    heavy = ws.save(sizes.filter(F.col("count") > hot).select("key"), "heavy")
+    heavy = ws.save(sizes.filter(F.col("count") > hot).select("key", F.ceil(F.col("count") / max(hot, 1)).alias("blocks")), "heavy")
     edges = []
-    if not heavy.isEmpty():
+    if heavy.isEmpty():
+        pass
+    elif words > 1 or most > 4:
+        cells = _grid(rows, heavy, hot, bits).repartition(4 * n, "key").sortWithinPartitions("key", "side")
+        edges.append(cells.mapInArrow(_verify(most, words), "u long, v long"))
+        rows = rows.join(heavy, "key", "left_anti")
+    else:
         # what has a table row or a probe at a heavy key meets in the middle instead
+        heavy = heavy.select("key")
         sent = rows.join(heavy, "key", "left_semi").select("fp").distinct()
         mids = sent.mapInArrow(_midpoints(most), "mid long, fp long").repartition(4 * n, "mid").sortWithinPartitions("mid", "fp")
         edges.append(mids.mapInArrow(_tie(most), "u long, v long"))
         rows = rows.join(heavy, "key", "left_anti")
     dealt = rows.repartition(n, "key").sortWithinPartitions("key", "side")
-    edges.append(dealt.mapInArrow(_verify(most), "u long, v long"))
+    edges.append(dealt.mapInArrow(_verify(most, words), "u long, v long"))
     return edges[0].unionByName(edges[1]) if len(edges) > 1 else edges[0]
 
 
-def simhash_components(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST, segments: int = SEGMENTS, hot: int = HOT) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links)."""
-    ws = Workspace(docs.sparkSession, "simhash")
-    fps = ws.save(fingerprints(docs, shingle), "fps")
-    smallest = ws.save(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    roots = components(link_edges(smallest, ws, most, segments, hot), ws)
+def simhash_components(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST, segments: int = SEGMENTS, hot: int = HOT, words: int = 1, radius: int | None = None) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits a word), component_id (smallest doc_id reachable over links)."""
+    ws, bits = Workspace(docs.sparkSession, "simhash"), bit_columns(words)
+    fps = ws.save(fingerprints(docs, shingle, words), "fps")
+    smallest = ws.save(fps.groupBy("fp", *(bits if words > 1 else [])).agg(F.min("doc_id").alias("low")), "distinct")
+    roots = components(link_edges(smallest, ws, most, segments, hot, words, radius), ws)
     # the smallest doc_id of a component is a minimum over its fingerprints; most fingerprints stand alone
     linked = smallest.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     low = linked.groupBy("root").agg(F.min("low").alias("component_id"))
     ids = linked.select("fp", "root").join(low, "root").select("fp", "component_id")
-    out = fps.join(ids, "fp")
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    digits = F.concat(*[F.lpad(F.lower(F.hex(c)), 16, "0") for c in bits])
+    return fps.join(ids, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, with all columns. Rows of a null doc_id stay."""
+def keep_one(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its component, with all columns. Rows of a null doc_id stay.
+    `how` goes to simhash_components."""
     ws = Workspace(docs.sparkSession, "near")
-    ids = simhash_components(docs, shingle, most)
+    ids = simhash_components(docs, **how)
     gone = ws.save(ids.filter("doc_id != component_id").select("doc_id").distinct(), "gone")
     return docs.join(sent_if_small(gone), "doc_id", "left_anti")

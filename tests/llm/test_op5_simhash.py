@@ -75,6 +75,24 @@ def test_links_of_random_fingerprints(spark, tmp_path, segments, most, hot):
     assert [roots.get(x, x) for x in signed] == want
 
 
+@pytest.mark.parametrize("hot", [10_000, 20, 1])
+def test_wide_fingerprints(spark, tmp_path, hot):
+    """Two words a fingerprint, against all pairs; radius 1 meets all pairs within 15 bits, and most within 23."""
+    rows = []
+    for s in range(15):
+        words = prose(s, 120).split()
+        for k in range(4):
+            rows.append((len(rows), " ".join([*words[: 20 * k], *["edit"] * (k > 0), *words[20 * k + (k > 1) :]])))
+    df = stored(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), tmp_path)
+    wide = {r["doc_id"]: r for r in op.fingerprints(df, 5, 2).collect()}
+    fp = np.array([[wide[i]["f0"], wide[i]["f1"]] for i, _ in rows]).view(np.uint64)
+    for most in (15, 9):
+        got = {r["doc_id"]: r["component_id"] for r in op.simhash_components(df, shingle=5, most=most, segments=8, words=2, radius=1, hot=hot).collect()}
+        want = grouped([i for i, _ in rows], lambda i: np.flatnonzero(np.bitwise_count(fp[i] ^ fp).sum(axis=1) <= most).tolist())
+        assert [got[i] for i, _ in rows] == want
+    assert 15 <= len(set(want)) < 60
+
+
 def test_components_of_paths_and_stars(spark):
     r = np.random.default_rng(3)
     order = r.permutation(300).tolist()
