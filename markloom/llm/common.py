@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import string
 import tempfile
 import uuid
+import zipfile
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +26,28 @@ WORD_BYTES = bytes(
 ARROW_BYTES = 8 << 20
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once an application, where their path doesn't have it anyway."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    context = spark.sparkContext
+    if root in (os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)) or context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    name = os.path.join(tempfile.mkdtemp(prefix="markloom-"), "markloom.zip")
+    with zipfile.ZipFile(name, "w") as z:
+        for folder, _, files in os.walk(os.path.join(root, "markloom")):
+            for f in files:
+                if f.endswith(".py"):
+                    z.write(os.path.join(folder, f), os.path.relpath(os.path.join(folder, f), root))
+    context.addPyFile(name)
+
+
 def tune(spark: SparkSession) -> None:
-    """Bounds Arrow batches by bytes, unless the session says something itself."""
+    """Bounds Arrow batches by bytes, unless the session says something itself; ships the package."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if (spark.conf.get(key) or "").startswith(str(64 << 20)):  # Spark's default
         spark.conf.set(key, str(ARROW_BYTES))
@@ -127,54 +149,144 @@ def let_go() -> None:
     _HELD.clear()
 
 
+_U = np.uint64
+
+
+def _hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit polynomial hashes of each word's bytes, of all words at once."""
+    words = words.cast(pa.large_binary())
+    at = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = words.buffers()[2]
+    flat = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    at = at - at[0]
+    size = np.diff(at)
+    place = np.arange(len(flat)) - np.repeat(at[:-1], size)
+    out = []
+    for base in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        power = np.multiply.accumulate(np.concatenate([[_U(base)], np.full(int(size.max(initial=0)), _U(base))]))
+        total = np.concatenate([[_U(0)], np.cumsum((flat.astype(_U) + _U(1)) * power[place], dtype=_U)])
+        h = (total[at[1:]] - total[at[:-1]]) ^ (size.astype(_U) << _U(40))
+        h = (h ^ (h >> _U(31))) * _U(0x7FB5D329728EA185)
+        out.append(h ^ (h >> _U(29)))
+    return out[0], out[1]
+
+
+class WordNumbers:
+    """Numbers words in the order in which they come, by 128-bit hashes in an open-addressing table of numpy arrays:
+    some 30 bytes a word, and whole batches are looked up at once."""
+
+    def __init__(self):
+        self.n, self.bits = 0, 16
+        self.h1, self.h2 = np.zeros(1 << 15, _U), np.zeros(1 << 15, _U)
+        self._fill()
+
+    def _place(self, h: np.ndarray) -> np.ndarray:
+        return (h >> _U(64 - self.bits)).astype(np.int64)
+
+    def _fill(self) -> None:
+        """The table anew, from the hashes of all numbers."""
+        self.table = np.full(1 << self.bits, -1, np.int32)
+        self._put(np.arange(self.n))
+
+    def _put(self, left: np.ndarray) -> None:
+        place, last = self._place(self.h1[left]), (1 << self.bits) - 1
+        while len(left):
+            free = self.table[place] < 0
+            self.table[place[free]] = left[free]  # of several for one place the last one stays
+            on = self.table[place] != left
+            left, place = left[on], (place[on] + 1) & last
+
+    def find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """Numbers, -1 for new words."""
+        place, last = self._place(h1), (1 << self.bits) - 1
+        out = self.table[place].astype(np.int64)
+        live = np.flatnonzero((out >= 0) & ((self.h1[out] != h1) | (self.h2[out] != h2)))
+        while len(live):
+            place[live] = (place[live] + 1) & last
+            got = self.table[place[live]]
+            out[live] = got
+            live = live[(got >= 0) & ((self.h1[got] != h1[live]) | (self.h2[got] != h2[live]))]
+        return out
+
+    def add(self, h1: np.ndarray, h2: np.ndarray) -> None:
+        m = self.n + len(h1)
+        while m > len(self.h1):
+            self.h1, self.h2 = (np.concatenate([x, np.zeros_like(x)]) for x in (self.h1, self.h2))
+        self.h1[self.n : m], self.h2[self.n : m] = h1, h2
+        new, self.n = np.arange(self.n, m), m
+        if 2 * m > 1 << self.bits:
+            self.bits = (4 * m - 1).bit_length()
+            self._fill()
+        else:
+            self._put(new)
+
+    def keep(self, numbers: np.ndarray) -> None:
+        """Only these (sorted) stay, numbered anew."""
+        self.n = len(numbers)
+        self.h1[: self.n], self.h2[: self.n] = self.h1[numbers], self.h2[numbers]
+        self._fill()
+
+
 class WordCache:
-    """Rows of numbers by word, for the words of whole batches: computed once a worker, looked up by dictionary codes.
+    """Rows of numbers by word, for the words of whole batches: computed once a worker, looked up by numbers.
 
     Holds at most about `limit` words; beyond that the half needed least goes. `compute` takes a list of words
     and returns an array with a row for each.
     """
 
     def __init__(self, compute, limit: int = 400_000):
-        self.compute, self.limit, self.slots = compute, limit, {}
+        self.compute, self.limit, self.numbers = compute, limit, WordNumbers()
         self.rows: np.ndarray | None = None
         self.used = np.zeros(0, np.int64)
 
-    def _forget(self) -> None:
-        n = len(self.slots)
+    def most_used(self) -> np.ndarray:
+        n = self.numbers.n
         best = np.argsort(-self.used[:n], kind="stable")[: self.limit // 2]
-        best = np.sort(best[self.used[best] > 1])
-        names = list(self.slots)
-        self.slots = {names[i]: k for k, i in enumerate(best.tolist())}
+        return np.sort(best[self.used[best] > 1])
+
+    def forget(self) -> None:
+        best = self.most_used()
+        self.numbers.keep(best)
         self.rows[: len(best)] = self.rows[best]
         self.used[: len(best)], self.used[len(best) :] = self.used[best] // 2, 0
 
-    def _learn(self, words: list[str]) -> None:
-        n, new = len(self.slots), self.compute(words)
+    def learn(self, words: list[str]) -> None:
+        """Rows of words that have just been numbered."""
+        end = self.numbers.n
+        new = self.compute(words)
         if self.rows is None:
-            self.rows = np.zeros((max(1 << 16, len(words)), *new.shape[1:]), new.dtype)
+            self.rows = np.zeros((max(1 << 15, len(words)), *new.shape[1:]), new.dtype)
             self.used = np.zeros(len(self.rows), np.int64)
-        while n + len(words) > len(self.rows):
+        while end > len(self.rows):
             self.rows, self.used = (np.concatenate([x, np.zeros_like(x)]) for x in (self.rows, self.used))
-        self.rows[n : n + len(words)] = new
-        self.slots.update(zip(words, range(n, n + len(words)), strict=True))
-
-    def of(self, texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+        self.rows[end - len(words) : end] = new
+
+    def number(self, words: pa.Array, codes: np.ndarray) -> np.ndarray:
+        """Of distinct words, which the codes refer to: their numbers; new ones are learned."""
+        if self.numbers.n and self.numbers.n + len(words) > self.limit:
+            self.forget()
+        h = _hashes(words)
+        found = self.numbers.find(*h)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            found[new] = self.numbers.n + np.arange(len(new))
+            self.numbers.add(h[0][new], h[1][new])
+            self.learn(words.take(pa.array(new)).to_pylist())
+        self.used[found] += np.bincount(codes, minlength=len(words))
+        return found
+
+    def of(self, texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
         """Of A-Z-lowered texts, cut at ASCII white space: the row of each word, where texts begin (one more for
         the end), the distinct words and each word's code among them."""
         texts = pc.fill_null(texts, "")
-        codes, names, at = words_of(pc.ascii_lower(texts) if lower else texts)
-        if self.slots and len(self.slots) + len(names) > self.limit:
-            self._forget()
-        if new := [w for w in names if w not in self.slots]:
-            self._learn(new)
-        if not names:
-            return self.compute([""])[:0], at, names, codes
-        slot = np.fromiter(map(self.slots.__getitem__, names), np.int64, len(names))
-        self.used[slot] += np.bincount(codes, minlength=len(names))
-        return self.rows[slot][codes], at, names, codes
-
-
-def words_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+        codes, words, at = words_of(pc.ascii_lower(texts) if lower else texts)
+        if not len(words):
+            return self.compute([""])[:0], at, words, codes
+        numbers = self.number(words, codes)
+        return self.rows[numbers[codes]], at, words, codes
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Words between ASCII white space: codes, distinct words, and where each text's words begin (one more for the end)."""
     lists = pc.ascii_split_whitespace(texts)
     at = lists.offsets.to_numpy().astype(np.int64)
@@ -185,7 +297,7 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
         flat = flat.filter(pa.array(full))
         at = np.concatenate([[0], np.cumsum(full)])[at]
     words = flat.dictionary_encode()
-    return words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary.to_pylist(), at
+    return words.indices.to_numpy(zero_copy_only=False), words.dictionary, at
 
 
 def sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:

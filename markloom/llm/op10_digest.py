@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from markloom.llm.common import flow
+from markloom.llm.common import Workspace, flow, sent_if_small
 
 _ICU, _CHARS = "com.ibm.icu.text.Normalizer", "com.ibm.icu.lang.UCharacter"
 #: White space and separators of Unicode that Java's \s leaves out.
@@ -39,12 +39,18 @@ def digest(canon: Column) -> Column:
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
-    """One row per group of canonically equal texts: fingerprint, told_apart, group_id (smallest doc_id), n_copies.
+    """One row per group of two or more canonically equal texts: fingerprint, told_apart, group_id (smallest
+    doc_id), n_copies.
 
-    Copies collapse in the map-side part of the aggregation, so a group that holds a third of all rows
-    sends a row per task.
+    Digests that occur once are alone and send no text. Texts of the others are compared as bytes, in the
+    grouping key. Copies collapse in the map-side part of the aggregation, so a group that holds a third of all
+    rows sends a row per task.
     """
+    ws = Workspace(docs.sparkSession, "digests")
     canon = docs.select("doc_id", canonical(F.col("text")).alias("canon")).withColumn("fingerprint", digest(F.col("canon")))
+    counts = canon.select("fingerprint").groupBy("fingerprint").count()
+    again = ws.save(counts.filter("count > 1").select("fingerprint"), "again")
+    canon = canon.join(sent_if_small(again), "fingerprint", "left_semi")
     groups = canon.groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n_copies"))
     return groups.select("fingerprint", _told_apart(F.col("canon")).alias("told_apart"), "group_id", "n_copies")
 
@@ -130,4 +136,5 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         likeness(a, b, F.col("canon"), F.col("canon_edited")).alias("near_edited"),
         likeness(a, c, F.col("canon"), F.col("canon_next")).alias("near_next"),
     )
-    return rows.join(exact_groups(docs), ["fingerprint", "told_apart"]).drop("told_apart")
+    rows = rows.join(exact_groups(docs), ["fingerprint", "told_apart"], "left").drop("told_apart")
+    return rows.withColumn("group_id", F.coalesce("group_id", "doc_id")).withColumn("n_copies", F.coalesce("n_copies", F.lit(1).cast("long")))

@@ -213,7 +213,7 @@ def _count_batches(batches):
     for b in slices(batches, "text", 8_000_000):
         codes, names, _ = words_of(pc.ascii_lower(pc.fill_null(b.column("text"), "")))
         n = np.bincount(codes, minlength=len(names))
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n)], names=["word", "c"])
+        yield pa.RecordBatch.from_arrays([names, pa.array(n)], names=["word", "c"])
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -302,7 +302,7 @@ def _score_batches(model: str, path: str, log_p, known, below: float, discounted
             if len(rare):
                 owner = np.searchsorted(at, rare, "right") - 1
                 pair, times = np.unique(owner * np.int64(len(names)) + codes[rare], return_counts=True)
-                word = pa.array(names, pa.string()).take(pa.array(pair % len(names)))
+                word = names.take(pa.array(pair % len(names)))
                 spelled = np.zeros(len(names))
                 spelled[codes[rare]] = values[rare, 0]
                 arrays = [pa.array(rid[pair // len(names)]), pa.nulls(len(pair), pa.int64()), pa.nulls(len(pair), pa.bool_()), word]

@@ -24,11 +24,10 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from markloom.llm.common import Workspace, held, slices
+from markloom.llm.common import WordCache, Workspace, held, slices
 
 CAPACITY, END_ID = 2048, 0
 #: Words whose ids a worker keeps; beyond that it forgets the half that was needed least. Bounds memory, not results.
@@ -42,67 +41,58 @@ def default_tokenizer() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
-class WordIds:
-    """Ids of texts by their words."""
+class WordIds(WordCache):
+    """Ids of texts by their words: a word's row is where its ids begin in one store, and how many there are."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.slots: dict[str, int] = {}
-        self.flat, self.at, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-
-    def _forget(self) -> None:
-        """Keeps the words used most, at most half as many as may be kept."""
-        n = len(self.slots)
-        best = np.argsort(-self.used[:n], kind="stable")[: CACHED_WORDS // 2]
-        best = np.sort(best[self.used[best] > 1])
-        size = self.at[best + 1] - self.at[best]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        flat = self.flat[np.repeat(self.at[best] - ends[:-1], size) + np.arange(ends[-1])]
-        names = list(self.slots)
-        self.slots = {names[i]: k for k, i in enumerate(best.tolist())}
-        self.flat[: len(flat)], self.at[: len(ends)] = flat, ends
-        self.used[: len(best)], self.used[len(best) :] = self.used[best] // 2, 0
-
-    def _learn(self, words: list[str]) -> None:
-        n = len(self.slots)
-        end = int(self.at[n])
+        self.store, self.end = np.zeros(1 << 16, np.uint32), 0
+        super().__init__(self._encode, CACHED_WORDS)
+
+    def forget(self) -> None:
+        best = self.most_used()
+        first, size = self.rows[best].T
+        ends = np.cumsum(size)
+        kept = self.store[_ragged(first, size)]
+        super().forget()
+        self.store[: len(kept)], self.end = kept, len(kept)
+        self.rows[: len(best), 0] = ends - size
+
+    def _encode(self, words: list[str]) -> np.ndarray:
+        out = np.zeros((len(words), 2), np.int32)
         for k in range(0, len(words), 2000):  # bounds what the encoder holds at once
             part = words[k : k + 2000]
             # one text of many words costs less than as many texts; a token's word is where its first character lies
             got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            flat = np.array(got.ids, np.uint32)
+            ids = np.array(got.ids, np.uint32)
             begins = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
-            first = np.fromiter((a for a, _ in got.offsets), np.int64, len(flat))
-            ends = np.cumsum(np.bincount(np.searchsorted(begins, first, "right"), minlength=len(part)))
-            while end + len(flat) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while n + len(part) + 1 > len(self.at):
-                self.at, self.used = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.used))
-            self.flat[end : end + len(flat)] = flat
-            self.at[n + 1 : n + 1 + len(part)] = end + ends
-            self.slots.update(zip(part, range(n, n + len(part)), strict=True))
-            n, end = n + len(part), end + len(flat)
+            first = np.fromiter((a for a, _ in got.offsets), np.int64, len(ids))
+            size = np.bincount(np.searchsorted(begins, first, "right"), minlength=len(part))
+            while self.end + len(ids) > len(self.store):
+                self.store = np.concatenate([self.store, np.zeros_like(self.store)])
+            self.store[self.end : self.end + len(ids)] = ids
+            out[k : k + len(part), 0] = self.end + np.cumsum(size) - size
+            out[k : k + len(part), 1] = size
+            self.end += len(ids)
+        return out
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where those of each text begin (one more for the end)."""
-        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        words = lists.values.slice(lists.offsets[0].as_py(), lists.offsets[-1].as_py() - lists.offsets[0].as_py()).dictionary_encode()
-        names = words.dictionary.to_pylist()
-        if len(self.slots) + len(names) > CACHED_WORDS:
-            self._forget()
-        if new := [w for w in names if w not in self.slots]:
-            self._learn(new)
-        slot = np.fromiter(map(self.slots.__getitem__, names), np.int64, len(names))
-        code = slot[words.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
-        np.add.at(self.used, slot, np.bincount(words.indices.to_numpy(zero_copy_only=False), minlength=len(names)))
-        first, size = self.at[code], self.at[code + 1] - self.at[code]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        out = self.flat[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])]
-        offsets = lists.offsets.to_numpy().astype(np.int64)
-        return out, ends[offsets - offsets[0]]
+        rows, at, _, _ = self.of(texts, lower=False)
+        ends = np.concatenate([[0], np.cumsum(rows[:, 1], dtype=np.int64)])
+        return self.store[_ragged(rows[:, 0], rows[:, 1])], ends[at]
+
+
+def _ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (size[0] of them), first[1], ..."""
+    ends = np.cumsum(size, dtype=np.int64)
+    if not len(ends):
+        return np.zeros(0, np.int64)
+    shift = first - (ends - size)
+    return np.repeat(shift.astype(np.int32), size) + np.arange(ends[-1], dtype=np.int32)
 
 
 def word_ids(path: str) -> WordIds:
