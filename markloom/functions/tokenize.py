@@ -159,3 +159,12 @@ def accepted(text: Column) -> Column:
     """Whether the document stays in the dialect (a tag cut short by the end does)."""
     rest = remainder(text, lexemes(text))["rest"]
     return F.when(text.isNotNull(), rest.isNull() | error(rest).isNull())
+
+
+def accepted_each(df: DataFrame, keep: list[str], texts: dict[str, Column]) -> DataFrame:
+    """keep's columns and accepted() of each text under its name; step by step, as in split_up()."""
+    df = df.select(*keep, *[t.alias(f"text_{n}") for n, t in texts.items()])
+    df = df.select("*", *[lexemes(F.col(f"text_{n}")).alias(f"parts_{n}") for n in texts])
+    df = df.select(*keep, *[remainder(F.col(f"text_{n}"), F.col(f"parts_{n}"))["rest"].alias(f"rest_{n}") for n in texts], *[F.col(f"text_{n}").isNotNull().alias(f"is_{n}") for n in texts])
+    fine = lambda n: F.col(f"rest_{n}").isNull() | error(F.col(f"rest_{n}")).isNull()
+    return df.select(*keep, *[F.when(F.col(f"is_{n}"), fine(n)).alias(n) for n in texts])

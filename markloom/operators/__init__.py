@@ -16,9 +16,12 @@ def decoded(docs: DataFrame, content: str = "content") -> DataFrame:
     return docs.withColumn("text", utf8_decode(F.col(content))).withColumn("error_pos", utf8_error_pos(F.col(content)))
 
 
-def normalized(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Replaces text by its preprocessed form and adds the number of characters dropped."""
-    return docs.withColumn("sanitized_count", error_count(F.col(text))).withColumn(text, preprocess(F.col(text)))
+def normalized(docs: DataFrame, text: str = "text", max_codepoints: int | None = None) -> DataFrame:
+    """Replaces text by its preprocessed form and adds the number of characters dropped.
+    max_codepoints cuts the result, as an engine with buffers of fixed size would; without it nothing is lost."""
+    c = preprocess(F.col(text))
+    c = F.substring(c, 1, max_codepoints) if max_codepoints else c
+    return docs.withColumn("sanitized_count", error_count(F.col(text))).withColumn(text, c)
 
 
 def exploded(df: DataFrame, keep: list[str], name: str) -> DataFrame:

@@ -142,9 +142,8 @@ def _kind(kind: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def tok_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each page as it is, without what the dialect lacks, and cut off."""
-    df = fx.pages(spark, sf_dir)
     h = F.col("html")
-    return df.select("page_id", *[tokenize.accepted(t).alias(n) for n, t in (("raw", h), ("strict", fx.strict(h)), ("cut", fx.cut(h)))])
+    return tokenize.accepted_each(fx.pages(spark, sf_dir), ["page_id"], {"raw": h, "strict": fx.strict(h), "cut": fx.cut(h)})
 
 
 def tok_error(spark: SparkSession, sf_dir: str) -> DataFrame:

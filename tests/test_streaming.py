@@ -25,3 +25,4 @@ def test_stages(spark):
     # the lone 85 is malformed and goes in decoding; FF as well, and the first error shows at byte 3
     assert (row["text"], row["error_pos"], row["sanitized_count"]) == ("a\nbc", 3, 0)
     assert token_rows(normalized(decoded(df)), "doc_id", F.col("text")).count() == 0
+    assert normalized(decoded(df), max_codepoints=2).first()["text"] == "a\n"
