@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import ctypes
 import os
+import shutil
 import string
 import tempfile
 import uuid
@@ -23,7 +27,7 @@ WORD_BYTES = bytes(
 
 
 #: Bytes of an Arrow batch; ten thousand rows, the other limit, can be far more where texts are long.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 4 << 20
 
 
 _SHIPPED: set[str] = set()
@@ -67,7 +71,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="markloom-")
+        own = tempfile.mkdtemp(prefix="markloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        at = "file://" + own
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
@@ -112,7 +118,14 @@ def sent_if_small(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= most else ids
 
 
-def slices(batches, column: str, most_bytes: int = 4_000_000):
+def trim() -> None:
+    """Gives freed memory back at the end of a task: workers idle between tasks, and more of them than run at once."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def slices(batches, column: str, most_bytes: int = 1_000_000):
     """Cuts record batches so that the named text column has about most_bytes a piece (a longer text comes alone)."""
     for batch in batches:
         col = batch.column(column)
@@ -125,6 +138,7 @@ def slices(batches, column: str, most_bytes: int = 4_000_000):
             total += n
         if len(sizes) > start:
             yield batch.slice(start)
+    trim()
 
 
 def flow(spark: SparkSession, factor: int = 1) -> int:

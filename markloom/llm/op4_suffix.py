@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markloom.llm.common import Workspace, flow, let_go, masked, slices, unmasked
+from markloom.llm.common import Workspace, flow, let_go, masked, slices, trim, unmasked
 
 N, K, HOT = 200, 50, 4096
 #: Windows of one pass of numpy, and symbols of one suffix array.
@@ -239,6 +239,7 @@ def _sort_blocks(n: int):
                 held, last = held + s, h[i]
         if kept:
             yield solve(kept)
+        trim()
 
     return run
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markloom.llm.common import Workspace, flow, let_go, sent_if_small, slices
+from markloom.llm.common import Workspace, flow, let_go, sent_if_small, slices, trim
 from markloom.llm.components import components
 
 SHINGLE, MOST, SEGMENTS = 4, 4, 3
@@ -205,6 +205,7 @@ def _verify(most: int, words: int, small: int = 64):
                 key, side, fp = key[cut:], side[cut:], fp[:, cut:]
         if len(key):
             yield out(*_runs(key, side), fp)
+        trim()
 
     return run
 

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markloom.llm.common import WordCache, Workspace, held, id_hash_remainder, let_go, slices, sums, words_of
+from markloom.llm.common import WordCache, Workspace, held, id_hash_remainder, let_go, slices, sums, trim, words_of
 
 ROUNDS, COMMON = 2, 300_000
 #: Added to each expected piece count.
@@ -210,7 +210,8 @@ def _log_sum(x: np.ndarray) -> np.ndarray:
 
 
 def _count_batches(batches):
-    for b in slices(batches, "text", 8_000_000):
+    let_go()
+    for b in slices(batches, "text", 2_000_000):
         codes, names, _ = words_of(pc.ascii_lower(pc.fill_null(b.column("text"), "")))
         n = np.bincount(codes, minlength=len(names))
         yield pa.RecordBatch.from_arrays([names, pa.array(n)], names=["word", "c"])
@@ -233,6 +234,7 @@ def _expect(path: str, log_p: np.ndarray):
                 words = []
         lattice.words(words, np.ones(len(words)), into)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(into))), pa.array(into)], names=["piece", "e"])
+        trim()
 
     return run
 
@@ -282,7 +284,7 @@ def _score_batches(model: str, path: str, log_p, known, below: float, discounted
                 mixed = np.logaddexp(np.log(whole), math.log(rest) + spelled * math.log(10)) / math.log(10)
             return np.stack([np.where(c >= 0, mixed, spelled), c], 1)
 
-        cache = held(("lm", model), lambda: WordCache(compute, limit=500_000))
+        cache = held(("lm", model), lambda: WordCache(compute, limit=400_000))
         cache.compute = compute
         for b in slices(batches, "text"):
             values, at, names, codes = cache.of(b.column("text"))

@@ -31,7 +31,7 @@ from markloom.llm.common import WordCache, Workspace, held, slices
 
 CAPACITY, END_ID = 2048, 0
 #: Words whose ids a worker keeps; beyond that it forgets the half that was needed least. Bounds memory, not results.
-CACHED_WORDS = 1_200_000
+CACHED_WORDS = 500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, nth long"
 
 

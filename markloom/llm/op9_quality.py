@@ -43,7 +43,7 @@ SENT_SITES = 200_000
 
 def _word_rows(words: list[str]) -> np.ndarray:
     """Per word: its bucket and that of its beginning; characters, capitals, symbols, digits, all capitals, ends in two symbols."""
-    out = np.zeros((len(words), 8))
+    out = np.zeros((len(words), 8), np.float32)
     for i, w in enumerate(words):
         core = w.lower().encode().translate(WORD_BYTES).replace(b" ", b"")
         letters = sum(map(str.isalpha, w))
@@ -110,7 +110,7 @@ def evidence(model: dict, shape: np.ndarray, bucket: np.ndarray, at: np.ndarray)
 
 
 def _collect_features(batches):
-    for b in slices(batches, "text"):
+    for b in slices(batches, "text", 1_000_000):
         shape, bucket, at = features(b.column("text"))
         lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(bucket.astype(np.int32)))
         shapes = pa.ListArray.from_arrays(pa.array(np.arange(0, shape.size + 1, SHAPES, dtype=np.int32)), pa.array(shape.ravel()))
@@ -136,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
 def _score_batches(model):
     def run(batches):
         m = model.value
-        for b in slices(batches, "text", 2_000_000):
+        for b in slices(batches, "text", 1_000_000):
             p = evidence(m, *features(b.column("text")))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], names=[*b.schema.names, "evidence"])
 
