@@ -29,9 +29,9 @@ def by_segmentation(lattice, word):
     total = 0.0
     for k in range(1, min(len(word), lattice.longest) + 1):
         i = lattice.index.get(word[:k])
-        p = math.exp(lattice.log_p[i]) if i is not None else 0.0
+        p = math.exp(lattice.log_p[0][i]) if i is not None else 0.0
         if k == 1 and i is None:
-            p = math.exp(lattice.log_p[lattice._spelled(word[0])].sum())
+            p = math.exp(lattice.log_p[0][lattice._spelled(word[0])].sum())
         if p:
             total += p * by_segmentation(lattice, word[k:])
     return total
@@ -39,7 +39,7 @@ def by_segmentation(lattice, word):
 
 def test_all_segmentations(lattice):
     few = ["", "a", "the", "hello", "日本x", "🙂", "éè", "zzzz", "a" * 11]
-    got = lattice.words(few)
+    got = lattice.words(few)[:, 0]
     for w, x in zip(few, got, strict=True):
         assert math.isclose(x, math.log(by_segmentation(lattice, op.MARK + w)), rel_tol=1e-9), w
 
@@ -47,13 +47,20 @@ def test_all_segmentations(lattice):
 def test_matrix_equals_single_and_counts_add_up(lattice):
     r = np.random.default_rng(0)
     some = ["".join(r.choice(list("etaoins日🙂é"), int(r.integers(0, 20)))) for _ in range(200)] + ["q" * 60]
-    one, two = np.zeros(len(lattice.log_p) - 1), np.zeros(len(lattice.log_p) - 1)
-    weight = r.random(len(some))
-    got = lattice.words(some, weight, one)
-    want = [lattice._single(op.MARK + w, c, two) for w, c in zip(some, weight, strict=True)]
+    one, two = np.zeros(lattice.log_p.shape[1] - 1), np.zeros(lattice.log_p.shape[1] - 1)
+    got = lattice.words(some, None, one)[:, 0]
+    want = [lattice._single(op.MARK + w, 0, two) for w in some]
     assert np.allclose(got, want, rtol=1e-10) and np.allclose(one, two, atol=1e-9)
 
 
+def test_several_models_at_once(lattice):
+    log_p = np.stack([lattice.log_p[0, :-1], np.roll(lattice.log_p[0, :-1], 7)])
+    both = op.Lattice(op.default_vocabulary(), log_p)
+    some = ["the", "x" * 70, "日本", ""]
+    for k in (0, 1):
+        assert np.allclose(both.words(some)[:, k], op.Lattice(op.default_vocabulary(), log_p[k]).words(some)[:, 0])
+
+
 def test_scores(spark, tmp_path):
     rows = [(i, prose(i % 7, 5 + i)) for i in range(60)] + [(60, None), (61, ""), (62, "new WORDS only")]
     df = stored(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), tmp_path)
@@ -86,8 +93,8 @@ def test_scores(spark, tmp_path):
 
 def test_a_new_word_s_model_is_proper(lattice):
     # probabilities of the shortest words and of all that is longer can't exceed one
-    start = math.exp(lattice.log_p[lattice.index[op.MARK]])
-    assert sum(math.exp(x) for x in lattice.words([chr(k) for k in range(33, 127)])) < 1 and start < 1
+    start = math.exp(lattice.log_p[0][lattice.index[op.MARK]])
+    assert sum(math.exp(x) for x in lattice.words([chr(k) for k in range(33, 127)])[:, 0]) < 1 and start < 1
 
 
 def test_awkward(spark, tmp_path):
@@ -101,3 +108,21 @@ def test_nothing_to_learn(spark, tmp_path):
     df = stored(spark, spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"), tmp_path)
     got = {r["doc_id"]: r for r in op.score(df.withColumn("held_out", F.lit(True))).collect()}
     assert got[1]["train_tokens"] == 0 and got[1]["n_known"] == 0 and got[1]["base_score"] == 0 and math.isfinite(got[1]["score"])
+
+
+def test_groups(spark, tmp_path):
+    """Two groups of their own words: a text is likelier than without them, and its group isn't looked at."""
+    a, b = [f"ba{i}" for i in range(30)], [f"zo{i}" for i in range(30)]
+    rows = [(i, " ".join((a if i % 2 else b)[(i * j) % 30] for j in range(1, 12)), "a" if i % 2 else "b") for i in range(200)]
+    df = stored(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), tmp_path)
+    held = df.withColumn("held_out", F.col("doc_id") >= 150)
+    got = {g: {r["doc_id"]: r for r in op.score(held, group=g, common=20).collect()} for g in (None, "lang")}
+    other = held.withColumn("lang", F.when(F.col("held_out"), F.lit("c")).otherwise(F.col("lang")))
+    same = {r["doc_id"]: r["score"] for r in op.score(other, group="lang", common=20).collect()}
+    for i in range(200):
+        one, two = got[None][i], got["lang"][i]
+        assert two["score"] > one["score"] + 1 and two["base_score"] == pytest.approx(one["base_score"])
+        assert (one["n_tokens"], one["n_known"], one["train_tokens"]) == (two["n_tokens"], two["n_known"], two["train_tokens"])
+        assert same[i] == pytest.approx(two["score"])
+        if i >= 150:
+            assert two["score"] > two["base_score"]
