@@ -166,7 +166,7 @@ def let_go() -> None:
 _U = np.uint64
 
 
-def _hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit polynomial hashes of each word's bytes, of all words at once."""
     words = words.cast(pa.large_binary())
     at = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
@@ -279,7 +279,7 @@ class WordCache:
         """Of distinct words, which the codes refer to: their numbers; new ones are learned."""
         if self.numbers.n and self.numbers.n + len(words) > self.limit:
             self.forget()
-        h = _hashes(words)
+        h = word_hashes(words)
         found = self.numbers.find(*h)
         new = np.flatnonzero(found < 0)
         if len(new):

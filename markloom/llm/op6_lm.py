@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markloom.llm.common import WordCache, Workspace, held, id_hash_remainder, let_go, slices, sums, trim, words_of
+from markloom.llm.common import WordCache, WordNumbers, Workspace, held, id_hash_remainder, let_go, slices, sums, trim, word_hashes, words_of
 
 ROUNDS, COMMON, GROUPS = 3, 300_000, 6
 #: Added to each expected piece count.
@@ -280,10 +280,10 @@ def train(counts: DataFrame, path: str, groups: int, rounds: int = ROUNDS) -> np
     return log_p
 
 
-def _most_common(counts: DataFrame, groups: int, common: int) -> tuple[dict[str, int], np.ndarray]:
+def _most_common(counts: DataFrame, groups: int, common: int) -> tuple[WordNumbers, np.ndarray]:
     """At most `common` words: those above the count at which there are as many, by a histogram on a log scale.
-    A row number for each, and their counts by group."""
-    names = _per_group(groups)
+    Their numbers (by hashes: no strings are sent), and their counts by group."""
+    names, numbers = _per_group(groups), WordNumbers()
     counts = counts.withColumn("c", sum((F.col(c) for c in names), F.lit(0)))
     level = F.floor(F.log2(F.col("c").cast("double")) * 32).cast("int")
     sizes = {r["level"]: r["count"] for r in counts.groupBy(level.alias("level")).count().collect()}
@@ -294,10 +294,10 @@ def _most_common(counts: DataFrame, groups: int, common: int) -> tuple[dict[str,
             break
         least = k
     if least is None:
-        return {}, np.zeros((0, groups), np.int64)
+        return numbers, np.zeros((1, groups), np.int64)
     rows = counts.filter(level >= least).select("word", *names).toArrow()
-    matrix = np.stack([rows[c].to_numpy() for c in names], 1)
-    return {w: i for i, w in enumerate(rows["word"].to_pylist())}, matrix
+    numbers.add(*word_hashes(rows["word"].combine_chunks()))
+    return numbers, np.stack([rows[c].to_numpy() for c in names], 1)
 
 
 def _score_batches(model: str, path: str, log_p, known, below: float, tokens, rest, discount):
@@ -310,16 +310,16 @@ def _score_batches(model: str, path: str, log_p, known, below: float, tokens, re
         lattice, pid, nth, groups = Lattice(path, p), TaskContext.get().partitionId(), 0, len(p)
 
         def compute(words: list[str]) -> np.ndarray:
-            at = np.fromiter((common.get(w, -1) for w in words), np.int64, len(words))
-            c = matrix[at] if len(matrix) else np.zeros((len(words), groups))
+            at = common.find(*word_hashes(pa.array(words, pa.string())))
+            c = matrix[at]
             spelled = lattice.words(words)
             with np.errstate(divide="ignore"):
                 mixed = np.logaddexp(np.log(np.maximum(c - discount, 0) / np.maximum(tokens, 1)), np.log(rest) + spelled)
-            seen = at >= 0
+            seen = at >= 0  # the rows of others aren't used
             value = np.where(seen[:, None], mixed, spelled) / math.log(10)
             return np.hstack([np.where(seen, c.sum(axis=1), -1)[:, None], value])
 
-        cache = held(("lm", model), lambda: WordCache(compute, limit=400_000))
+        cache = held(("lm", model), lambda: WordCache(compute, limit=250_000))
         cache.compute = compute
         for b in slices(batches, "text"):
             values, at, names, codes = cache.of(b.column("text"))
