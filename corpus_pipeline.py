@@ -1,8 +1,9 @@
 """A corpus pipeline of five of the llm operators, each stage written as Parquet before the next reads it.
 
 quality      documents that the quality classifier rejects go
-near_copies  of each group of near-duplicates the document of the smallest doc_id stays; fingerprints of 128 bits over
-             shingles of five words, linked within 23 bits: a Jaccard similarity of 0.8 is some 19 bits
+near_copies  of each group of near-duplicates the document of the smallest doc_id stays; texts are linked by a Jaccard
+             similarity of 0.8 or more of their sets of five-word shingles; candidates are the components of
+             fingerprints of 128 bits within 23 bits (a similarity of 0.8 is some 19 bits)
 repeats      bytes of passages that occur more than once are cut out of the texts (documents stay)
 benchmarks   documents that hold a benchmark window go
 packing      the rest is tokenised and packed into sequences
@@ -24,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op5_simhash.keep_one(docs, shingle=5, words=2, segments=8, most=23, radius=1)
+    return op5_simhash.keep_one(docs, least=0.8, shingle=5, words=2, segments=8, most=23, radius=1)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

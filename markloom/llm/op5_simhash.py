@@ -22,6 +22,12 @@ large; `radius` sets a smaller one. Pairs within (radius + 1) * segments - 1 bit
 unless each segment differs in more than radius bits. A key with over `hot` table rows is compared in a grid of
 tasks then (blocks of table rows against blocks of all rows), as balls about middles would be too large.
 
+Verified links. Fingerprints only estimate: with `least`, keep_one takes their components as candidates alone. Texts
+of one component link where the Jaccard similarity of their sets of shingles (by 64-bit hashes) is `least` or more,
+whatever their fingerprints' distance; components of those links count then. Texts of equal sets collapse first, equal
+fingerprints don't. Every pair of a component is compared unless its two texts are joined already; a component with over
+`HOT_SETS` sets or `HOT_HASHES` hashes is compared in a grid of tasks.
+
 Null text: empty. Null doc_ids take part; a component's id is its smallest doc_id. Repeated rows each give a
 row. Extra columns are ignored; an empty table gives an empty result.
 """
@@ -41,6 +47,8 @@ from markloom.llm.components import components
 SHINGLE, MOST, SEGMENTS = 4, 4, 3
 #: Table rows of one key that are compared in one task.
 HOT = 16_384
+#: Sets of shingles, and hashes in them, that are compared in one task (twice as many in a cell of a grid).
+HOT_SETS, HOT_HASHES = 1024, 2_000_000
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -91,19 +99,33 @@ def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
     return np.array(got, np.uint64)
 
 
-def _fingerprints(shingle: int, words: int):
+def _set_digest(distinct: np.ndarray) -> int:
+    """64 bits for a sorted set of hashes."""
+    from xxhash import xxh3_64_intdigest
+
+    return xxh3_64_intdigest(distinct.astype("<u8").tobytes(), 42)
+
+
+def _fingerprints(shingle: int, words: int, sets: bool = False):
     def run(batches):
         let_go()
         for b in slices(batches, "text"):
             got: list[list[int]] = [[] for _ in range(words)]
+            digest, size = [], []
             for t in b.column("text").cast(pa.binary()).to_pylist():
                 h = shingle_hashes(t or b"", shingle)
                 for j in range(words):  # other words by other functions of the hashes
                     got[j].append(fingerprint_of(_mix(h + np.uint64(j * 0x9E3779B97F4A7C15 % 2**64)) if j else h))
+                if sets:
+                    own = np.unique(h)
+                    digest.append(_set_digest(own)), size.append(len(own))
             fp = [np.array(x, np.uint64) for x in got]
             cols = [_node(fp)] + (fp if words > 1 else [])
             names = ["fp", *(bit_columns(words) if words > 1 else [])]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c.view(np.int64)) for c in cols)], names=["doc_id", *names])
+            out = [b.column("doc_id"), *(pa.array(c.view(np.int64)) for c in cols)]
+            if sets:
+                out += [b.column("rid"), pa.array(np.array(digest, np.uint64).view(np.int64)), pa.array(np.array(size, np.int64))]
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", *names, *(["rid", "s", "n"] if sets else [])])
 
     return run
 
@@ -114,6 +136,13 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, words: int = 1) -> Dat
     return docs.select("doc_id", "text").mapInArrow(_fingerprints(shingle, words), f"doc_id long, fp long{more}")
 
 
+def set_fingerprints(rows: DataFrame, shingle: int = SHINGLE, words: int = 1) -> DataFrame:
+    """doc_id, text, rid to what fingerprints gives, rid, s (a hash of the set of shingles) and n (its size)."""
+    more = "".join(f", {c} long" for c in bit_columns(words) if words > 1)
+    schema = f"doc_id long, fp long{more}, rid long, s long, n long"
+    return rows.select("doc_id", "text", "rid").mapInArrow(_fingerprints(shingle, words, True), schema)
+
+
 def segment_bounds(segments: int, words: int = 1) -> list[tuple[int, int, int]]:
     """(word, shift, width) of each segment; as many in each word, widths as even as can be."""
     each = segments // words
@@ -302,10 +331,113 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST
     return fps.join(ids, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
+def _sets(shingle: int):
+    names = ["root", "s", "blocks"]
+
+    def run(batches):
+        let_go()
+        for b in slices(batches, "text"):
+            texts = b.column("text").cast(pa.binary()).to_pylist()
+            hashes = [np.unique(shingle_hashes(t or b"", shingle)).tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(hashes, pa.binary())], names=[*names, "hashes"])
+
+    return run
+
+
+def similar(sets: list[np.ndarray], tables: int, least: float) -> tuple[list[int], list[int]]:
+    """A spanning forest of the pairs of sets with Jaccard similarity of least or more: of the first `tables` sets with
+    the ones after those, or of all pairs where there are none after."""
+    m = len(sets)
+    size = np.array([len(x) for x in sets], np.int64)
+    at = np.cumsum(size) - size
+    words, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    label, mark = np.arange(m), np.zeros(len(words), bool)
+    us, vs = [], []
+    for k in range(tables):
+        after = np.arange(tables if tables < m else k + 1, m)
+        low, high = np.minimum(size[k], size[after]), np.maximum(size[k], size[after])
+        after = after[(label[after] != label[k]) & (low > 0) & (low + 1e-9 >= least * high)]
+        if not len(after):
+            continue
+        own, many = codes[at[k] : at[k] + size[k]], size[after]
+        first = np.cumsum(many) - many
+        mark[own] = True
+        hit = mark[codes[np.repeat(at[after] - first, many) + np.arange(many.sum())]]
+        mark[own] = False
+        common = np.add.reduceat(hit, first, dtype=np.int64)
+        near = after[common + 1e-9 >= least * (size[k] + many - common)]
+        found, where = np.unique(label[near], return_index=True)
+        us += [k] * len(found)
+        vs += near[where].tolist()
+        label[np.isin(label, found)] = label[k]
+    return us, vs
+
+
+def _similar(least: float):
+    """Rows sorted by key and side, as _verify has them."""
+
+    def out(s, side, sets):
+        us, vs = similar(sets, side.count(0), least) if len(s) > 1 else ([], [])
+        return [s[i] for i in us], [s[i] for i in vs]
+
+    def run(batches):
+        last, s, side, sets = None, [], [], []
+        for b in batches:
+            u, v = [], []
+            for key, own, where, hashes in zip(*(b.column(c).to_pylist() for c in ("key", "s", "side", "hashes")), strict=True):
+                if key != last:
+                    x, y = out(s, side, sets)
+                    u += x
+                    v += y
+                    last, s, side, sets = key, [], [], []
+                s.append(own), side.append(where), sets.append(np.frombuffer(hashes, np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+        u, v = out(s, side, sets)
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+        trim()
+
+    return run
+
+
+def similar_edges(rows: DataFrame, fps: DataFrame, roots: DataFrame, ws: Workspace, shingle: int, least: float, hot_sets: int = HOT_SETS) -> DataFrame:
+    """Edges (u, v) between sets `s` that have the components of all links within components of fingerprints.
+    rows: rid, text; fps: their set_fingerprints; roots: node (fp), root."""
+    each = fps.groupBy("fp", "s").agg(F.min("rid").alias("rid"), F.max("n").alias("n"))
+    each = each.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    members = ws.save(each.groupBy("root", "s").agg(F.min("rid").alias("rid"), F.max("n").alias("n")), "members")
+    sizes = members.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("n")).filter("m > 1")
+    blocks = F.greatest(F.ceil(F.col("m") / hot_sets), F.ceil(F.col("n") / HOT_HASHES))
+    sizes = ws.save(sizes.select("root", blocks.alias("blocks")), "sizes")
+    compared = ws.save(members.join(sent_if_small(sizes), "root").select("rid", "root", "s", "blocks"), "compared")
+    texts = rows.select("rid", "text").join(sent_if_small(compared), "rid")
+    sets = texts.select("root", "s", "blocks", "text").mapInArrow(_sets(shingle), "root long, s long, blocks long, hashes binary")
+    own, other = F.pmod(F.xxhash64("s"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    cells = sets.withColumn("own", own).withColumn("other", other)
+    key = F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other"))
+    cells = cells.select(key.alias("key"), (F.col("own") > F.col("other")).cast("byte").alias("side"), "s", "hashes")
+    dealt = cells.repartition(flow(rows.sparkSession), "key").sortWithinPartitions("key", "side")
+    return dealt.mapInArrow(_similar(least), "u long, v long")
+
+
+def similar_components(docs: DataFrame, least: float, shingle: int = SHINGLE, most: int = MOST, segments: int = SEGMENTS, hot: int = HOT, words: int = 1, radius: int | None = None, hot_sets: int = HOT_SETS) -> DataFrame:
+    """doc_id, component_id (smallest doc_id reachable over verified links)."""
+    ws, bits = Workspace(docs.sparkSession, "similar"), bit_columns(words)
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("rid"))
+    fps = ws.save(set_fingerprints(rows, shingle, words), "fps")
+    distinct = ws.save(fps.select("fp", *(bits if words > 1 else [])).distinct(), "distinct")
+    roots = components(link_edges(distinct, ws, most, segments, hot, words, radius), ws)
+    # the second components are a workspace of their own: the first ones are still read
+    edges = similar_edges(rows, fps, roots, ws, shingle, least, hot_sets)
+    nodes = components(edges, Workspace(docs.sparkSession, "similar")).withColumnRenamed("node", "s")
+    linked = fps.groupBy("s").agg(F.min("doc_id").alias("low")).join(nodes, "s", "left").withColumn("root", F.coalesce("root", "s"))
+    low = linked.groupBy("root").agg(F.min("low").alias("component_id"))
+    return fps.select("doc_id", "s").join(linked.select("s", "root").join(low, "root").select("s", "component_id"), "s").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, least: float | None = None, **how) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component, with all columns. Rows of a null doc_id stay.
-    `how` goes to simhash_components."""
+    least: links are verified by the Jaccard similarity of sets of shingles. `how` goes to simhash_components."""
     ws = Workspace(docs.sparkSession, "near")
-    ids = simhash_components(docs, **how)
+    ids = simhash_components(docs, **how) if least is None else similar_components(docs, least, **how)
     gone = ws.save(ids.filter("doc_id != component_id").select("doc_id").distinct(), "gone")
     return docs.join(sent_if_small(gone), "doc_id", "left_anti")

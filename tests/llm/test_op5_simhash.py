@@ -93,6 +93,41 @@ def test_wide_fingerprints(spark, tmp_path, hot):
     assert 15 <= len(set(want)) < 60
 
 
+def test_similar_sets_against_all_pairs():
+    r = np.random.default_rng(5)
+    for tables in (30, 12):
+        sets = [np.unique(r.integers(0, 7, int(r.integers(0, 14)), dtype=np.uint64)) for _ in range(30)]
+        pairs = [(a, b) for a in range(tables) for b in range(tables if tables < 30 else a + 1, 30)]
+        jaccard = lambda a, b: len(set(sets[a]) & set(sets[b])) / max(1, len(set(sets[a]) | set(sets[b])))
+        linked = [(a, b) for a, b in pairs if jaccard(a, b) >= 0.8]
+        got = list(zip(*op.similar(sets, tables, 0.8), strict=True))
+        assert set(got) <= set(linked) and len(linked) > 3
+        ids, tied = list(range(30)), lambda edges: lambda i: [b for a, b in edges if a == i]
+        assert grouped(ids, tied(got)) == grouped(ids, tied(linked))
+
+
+@pytest.mark.parametrize("hot_sets", [op.HOT_SETS, 5, 1])
+def test_only_similar_texts_go(spark, tmp_path, hot_sets):
+    """Copies with edits here and there: fingerprints chain far more of them than have five-word similarity of 0.8."""
+    rows = []
+    for s in range(12):
+        words = prose(s, 150).split()
+        for k in range(6):
+            own = list(words)
+            for j in range(2 * k):
+                own[(7 * s + 31 * k + 12 * j) % 150] = f"edit{k}x{j}"
+            rows.append((len(rows), " ".join(own)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(146)} for _, t in rows]
+    near = lambda i: [j for j in range(len(rows)) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    want = grouped(list(range(len(rows))), near)
+    df = stored(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), tmp_path)
+    how = dict(shingle=5, words=2, segments=8, most=23, radius=1)
+    unchecked = {r["doc_id"]: r["component_id"] for r in op.simhash_components(df, **how).collect()}
+    assert any(unchecked[i] != i and want[i] == i for i in range(len(rows)))
+    kept = sorted(r["doc_id"] for r in op.keep_one(df, least=0.8, hot_sets=hot_sets, **how).collect())
+    assert kept == sorted(set(want)) and 12 < len(kept) < len(rows)
+
+
 def test_components_of_paths_and_stars(spark):
     r = np.random.default_rng(3)
     order = r.permutation(300).tolist()
