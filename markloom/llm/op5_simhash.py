@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markloom.llm.common import Workspace, flow, let_go, sent_if_small, slices, trim
+from markloom.llm.common import Workspace, flow, let_go, masked, sent_if_small, slices, trim, unmasked
 from markloom.llm.components import components
 
 SHINGLE, MOST, SEGMENTS = 4, 4, 3
@@ -419,25 +419,20 @@ def similar_edges(rows: DataFrame, fps: DataFrame, roots: DataFrame, ws: Workspa
     return dealt.mapInArrow(_similar(least), "u long, v long")
 
 
-def similar_components(docs: DataFrame, least: float, shingle: int = SHINGLE, most: int = MOST, segments: int = SEGMENTS, hot: int = HOT, words: int = 1, radius: int | None = None, hot_sets: int = HOT_SETS) -> DataFrame:
-    """doc_id, component_id (smallest doc_id reachable over verified links)."""
-    ws, bits = Workspace(docs.sparkSession, "similar"), bit_columns(words)
+def keep_one(docs: DataFrame, least: float | None = None, shingle: int = SHINGLE, words: int = 1, hot_sets: int = HOT_SETS, **how) -> DataFrame:
+    """One row of each component, with all columns: that of the smallest doc_id (nulls last), of several the first in
+    place. least: links are verified by the Jaccard similarity of sets of shingles. `how` goes to link_edges."""
+    ws, bits = Workspace(docs.sparkSession, "near"), bit_columns(words)
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("rid"))
     fps = ws.save(set_fingerprints(rows, shingle, words), "fps")
     distinct = ws.save(fps.select("fp", *(bits if words > 1 else [])).distinct(), "distinct")
-    roots = components(link_edges(distinct, ws, most, segments, hot, words, radius), ws)
-    # the second components are a workspace of their own: the first ones are still read
-    edges = similar_edges(rows, fps, roots, ws, shingle, least, hot_sets)
-    nodes = components(edges, Workspace(docs.sparkSession, "similar")).withColumnRenamed("node", "s")
-    linked = fps.groupBy("s").agg(F.min("doc_id").alias("low")).join(nodes, "s", "left").withColumn("root", F.coalesce("root", "s"))
-    low = linked.groupBy("root").agg(F.min("low").alias("component_id"))
-    return fps.select("doc_id", "s").join(linked.select("s", "root").join(low, "root").select("s", "component_id"), "s").select("doc_id", "component_id")
-
-
-def keep_one(docs: DataFrame, least: float | None = None, **how) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, with all columns. Rows of a null doc_id stay.
-    least: links are verified by the Jaccard similarity of sets of shingles. `how` goes to simhash_components."""
-    ws = Workspace(docs.sparkSession, "near")
-    ids = simhash_components(docs, **how) if least is None else similar_components(docs, least, **how)
-    gone = ws.save(ids.filter("doc_id != component_id").select("doc_id").distinct(), "gone")
-    return docs.join(sent_if_small(gone), "doc_id", "left_anti")
+    roots, node = components(link_edges(distinct, ws, words=words, **how), ws), "fp"
+    if least is not None:
+        # a workspace of their own: the first components are still read
+        edges = similar_edges(rows, fps, roots, ws, shingle, least, hot_sets)
+        roots, node = components(edges, Workspace(docs.sparkSession, "similar")), "s"
+    first = fps.groupBy(node).agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "rid")).alias("first"))
+    linked = first.join(roots.withColumnRenamed("node", node), node, "left").groupBy(F.coalesce("root", node)).agg(F.min("first").alias("first"))
+    gone = ws.save(fps.select("rid").join(linked.select("first.rid"), "rid", "left_anti"), "gone")
+    own = masked(docs, rid=F.monotonically_increasing_id())
+    return unmasked(own.join(sent_if_small(gone), "rid", "left_anti"), docs.columns)

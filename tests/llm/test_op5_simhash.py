@@ -128,6 +128,16 @@ def test_only_similar_texts_go(spark, tmp_path, hot_sets):
     assert kept == sorted(set(want)) and 12 < len(kept) < len(rows)
 
 
+def test_one_row_of_each_group_stays(spark, tmp_path):
+    """Repeated rows, null ids, and one id on different texts."""
+    a, b, c, d = (prose(i, 80) for i in (1, 2, 3, 4))
+    rows = [(7, a), (7, a), (None, b), (None, b), (3, c), (3, d), (2, d), (None, a)]
+    df = stored(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), tmp_path)
+    for least in (None, 0.8):
+        got = sorted((tuple(r) for r in op.keep_one(df, least=least).collect()), key=repr)
+        assert got == sorted([(7, a), (None, b), (3, c), (2, d)], key=repr)
+
+
 def test_components_of_paths_and_stars(spark):
     r = np.random.default_rng(3)
     order = r.permutation(300).tolist()
