@@ -8,8 +8,9 @@ worker and looked up for whole batches. Texts are lower-cased; all of every text
 
 The score is the winner's share when each phrase costs log(sample length) nats.
 
-The sample: per language the `docs_each` labelled documents of the smallest id hashes, `chars_each` characters of
-each. It doesn't grow with the input. Languages are read from the labels; null labels teach nothing.
+The sample: per language the `docs_each` distinct labelled texts of the smallest id hashes, and of each `chars_each`
+characters: all of a shorter text, else `PIECES` pieces, one at a hashed place in each equal stretch of it. Where repeats
+leave too few distinct texts, more documents are read. It doesn't grow with the input. Languages are read from the labels; null labels teach nothing.
 
 Null text or a text without a letter: `und`, score 0; so is every text where no language was learned. Repeated
 rows each give a row. Extra columns are ignored; an empty table gives an empty result.
@@ -22,12 +23,12 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from markloom.llm.common import WordCache, held, id_hash_remainder, slices, sums
 
-DOCS_EACH, CHARS_EACH = 64, 400
+DOCS_EACH, CHARS_EACH, PIECES = 64, 400, 4
 UNKNOWN = "und"
 
 
@@ -85,15 +86,31 @@ def learn(docs: DataFrame, usable: Column, docs_each: int = DOCS_EACH, chars_eac
     n = {r["lang"]: r["count"] for r in counts.collect()}  # a row per language
     if not n:
         return ()
-    # a fraction of the ids by hash that has three times as many as are needed, so enough of them are there
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    share = F.coalesce(*[F.when(F.col("lang") == k, int(min(1.0, 3 * docs_each / v) * (1 << 40))) for k, v in n.items()])
-    rows = own.filter(h < share).select("lang", h.alias("h"), F.substring("text", 1, chars_each).alias("text")).collect()
-    out = []
-    for lang in sorted(n):
-        texts = list(dict.fromkeys(r["text"] for r in sorted((r for r in rows if r["lang"] == lang), key=lambda r: (r["h"], r["text"]))))
-        out.append((lang, " " + " ".join(" ".join(texts[:docs_each]).lower().split()) + " "))
-    return tuple(out)
+    own = own.select("lang", h.alias("h"), F.xxhash64("text").alias("t"), _pieces(F.col("text"), chars_each).alias("text"))
+    # a fraction of the ids by hash that has three times as many as are needed; more where too few texts differ
+    factor, left, out = 3, dict(n), {}
+    while left:
+        share = F.coalesce(*[F.when(F.col("lang") == k, int(min(1.0, factor * docs_each / v) * (1 << 40))) for k, v in left.items()])
+        each = own.filter(F.col("h") < share).groupBy("lang", "t").agg(F.min(F.struct("h", "text")).alias("first"))
+        place = F.row_number().over(Window.partitionBy("lang").orderBy("first"))
+        rows = each.withColumn("place", place).filter(F.col("place") <= docs_each).select("lang", "place", "first.text").collect()
+        for lang in list(left):
+            texts = [r["text"] for r in sorted((r for r in rows if r["lang"] == lang), key=lambda r: r["place"])]
+            if len(texts) >= docs_each or factor * docs_each >= left[lang]:
+                out[lang] = " " + " ".join(" ".join(texts).lower().split()) + " "
+                del left[lang]
+        factor *= 8
+    return tuple(sorted(out.items()))
+
+
+def _pieces(text: Column, chars: int) -> Column:
+    """chars characters of a text from places spread over it, by hash."""
+    each, size = chars // PIECES, F.length(text)
+    stretch = F.floor(size / PIECES)
+    at = lambda j: F.lit(j) * stretch + F.pmod(F.xxhash64(text, F.lit(j)), F.greatest(stretch - each + 1, F.lit(1))) + 1
+    parts = [F.substring(text, at(j).cast("int"), F.lit(each)) for j in range(PIECES)]
+    return F.when(size <= chars, text).otherwise(F.concat_ws(" ", *parts))
 
 
 def _predict(samples: tuple[tuple[str, str], ...]):

@@ -51,6 +51,14 @@ def test_held_out_rows_teach_nothing(spark):
     assert {r["lang_pred"] for r in op.language_id(odd).collect()} == {"p", "q"}
 
 
+def test_samples_reach_behind_shared_openings(spark):
+    """All texts open alike, and most are copies: bodies are learned, and as many distinct texts as asked for."""
+    rows = [(i, "opening " * 60 + f"body{i if i % 40 == 0 else 0:05d} " * 200, "p") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    ((_, sample),) = op.learn(df, F.lit(True), docs_each=20)
+    assert len({w for w in sample.split() if len(w) == 9 and w.startswith("body")}) == 20
+
+
 def test_awkward(spark):
     df = awkward(spark)
     got = op.language_id(df).collect()
