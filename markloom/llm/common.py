@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import ctypes
 import os
+import re
 import shutil
 import string
 import tempfile
@@ -67,14 +68,22 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a temporary one of a local session
+    (tests); on a cluster that would be a folder of one machine, so there it is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        own = tempfile.mkdtemp(prefix="markloom-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        at = "file://" + own
-        spark.conf.set("spark.checkpoint.dir", at)
+        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if context.applicationId not in _OWN:
+            own = tempfile.mkdtemp(prefix="markloom-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            _OWN[context.applicationId] = "file://" + own
+        at = _OWN[context.applicationId]
     return at.rstrip("/")
 
 
@@ -91,26 +100,44 @@ def unmasked(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(c if c in names else f"x_{i}").alias(c) for i, c in enumerate(columns)])
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Workspace:
     """Tables written to the shared folder to cut lineage: they survive a lost executor, unlike cached blocks.
 
-    Tables that the returned DataFrame still reads can't be dropped by the operator; they stay in the
-    shared folder, which the cluster cleans. Intermediate ones go as soon as they are superseded.
+    Tables that are superseded go at once. Those that a returned DataFrame still reads stay until it has been
+    written: clean() then deletes them.
     """
 
+    made: list[str] = []
+
     def __init__(self, spark: SparkSession, name: str):
         tune(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        Workspace.made.append(self.root)
 
     def save(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.option("compression", "zstd").parquet(path, mode="overwrite", partitionBy=partition_by)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        for name in names:
+            _delete(self.spark, f"{self.root}/{name}")
+
+    def numbered(self, docs: DataFrame, name: str = "rows") -> DataFrame:
+        """docs, masked, with rid, written once. Numbers that are taken anew with each scan don't agree where the
+        scan is split otherwise, as it is when executors come or go."""
+        return self.save(masked(docs, rid=F.monotonically_increasing_id()), name)
+
+
+def clean(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the workspaces made after the first `since`; what was returned from them must have been written."""
+    while len(Workspace.made) > since:
+        _delete(spark, Workspace.made.pop())
 
 
 def sent_if_small(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
@@ -166,32 +193,41 @@ def let_go() -> None:
 _U = np.uint64
 
 
-def word_hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit polynomial hashes of each word's bytes, of all words at once."""
+def bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes, and where those of each word begin (one more for the end)."""
     words = words.cast(pa.large_binary())
     at = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
     data = words.buffers()[2]
     flat = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
-    at = at - at[0]
+    return flat, at - at[0]
+
+
+def ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (size[0] of them), first[1], ..."""
+    ends = np.cumsum(size, dtype=np.int64)
+    if not len(ends):
+        return np.zeros(0, np.int64)
+    return np.repeat(first - (ends - size), size) + np.arange(ends[-1])
+
+
+def _hashes(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A polynomial hash of each word's bytes, of all words at once. Only says where to look: bytes decide."""
     size = np.diff(at)
-    place = np.arange(len(flat)) - np.repeat(at[:-1], size)
-    out = []
-    for base in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-        power = np.multiply.accumulate(np.concatenate([[_U(base)], np.full(int(size.max(initial=0)), _U(base))]))
-        total = np.concatenate([[_U(0)], np.cumsum((flat.astype(_U) + _U(1)) * power[place], dtype=_U)])
-        h = (total[at[1:]] - total[at[:-1]]) ^ (size.astype(_U) << _U(40))
-        h = (h ^ (h >> _U(31))) * _U(0x7FB5D329728EA185)
-        out.append(h ^ (h >> _U(29)))
-    return out[0], out[1]
+    power = np.multiply.accumulate(np.full(int(size.max(initial=0)) + 1, 0x9E3779B97F4A7C15, _U))
+    total = np.concatenate([[_U(0)], np.cumsum((flat.astype(_U) + _U(1)) * power[np.arange(len(flat)) - np.repeat(at[:-1], size)], dtype=_U)])
+    h = (total[at[1:]] - total[at[:-1]]) ^ (size.astype(_U) << _U(40))
+    h = (h ^ (h >> _U(31))) * _U(0x7FB5D329728EA185)
+    return h ^ (h >> _U(29))
 
 
 class WordNumbers:
-    """Numbers words in the order in which they come, by 128-bit hashes in an open-addressing table of numpy arrays:
-    some 30 bytes a word, and whole batches are looked up at once."""
+    """Numbers words in the order in which they come: an open-addressing table of numpy arrays, with the words' bytes
+    beside it. Whole batches are looked up at once; a word is found where hash and bytes are equal."""
 
     def __init__(self):
         self.n, self.bits = 0, 16
-        self.h1, self.h2 = np.zeros(1 << 15, _U), np.zeros(1 << 15, _U)
+        self.h, self.at = np.zeros(1 << 15, _U), np.zeros((1 << 15) + 1, np.int64)
+        self.flat = np.zeros(1 << 18, np.uint8)
         self._fill()
 
     def _place(self, h: np.ndarray) -> np.ndarray:
@@ -203,30 +239,50 @@ class WordNumbers:
         self._put(np.arange(self.n))
 
     def _put(self, left: np.ndarray) -> None:
-        place, last = self._place(self.h1[left]), (1 << self.bits) - 1
+        place, last = self._place(self.h[left]), (1 << self.bits) - 1
         while len(left):
             free = self.table[place] < 0
             self.table[place[free]] = left[free]  # of several for one place the last one stays
             on = self.table[place] != left
             left, place = left[on], (place[on] + 1) & last
 
-    def find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    def _same(self, number: np.ndarray, flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether the words of these numbers have the bytes that begin at first in flat."""
+        own = self.at[number]
+        out = self.at[number + 1] - own == size
+        k = np.flatnonzero(out & (size > 0))
+        if len(k):
+            differ = self.flat[ragged(own[k], size[k])] != flat[ragged(first[k], size[k])]
+            out[k] = np.add.reduceat(differ, np.cumsum(size[k]) - size[k], dtype=np.int64) == 0
+        return out
+
+    def find(self, words: pa.Array) -> np.ndarray:
         """Numbers, -1 for new words."""
-        place, last = self._place(h1), (1 << self.bits) - 1
-        out = self.table[place].astype(np.int64)
-        live = np.flatnonzero((out >= 0) & ((self.h1[out] != h1) | (self.h2[out] != h2)))
+        flat, at = bytes_of(words)
+        h, size = _hashes(flat, at), np.diff(at)
+        place, last = self._place(h), (1 << self.bits) - 1
+        out, live = np.full(len(h), -1, np.int64), np.arange(len(h))
         while len(live):
+            got = self.table[place[live]].astype(np.int64)
+            live, got = live[got >= 0], got[got >= 0]
+            hit = self.h[got] == h[live]
+            hit[hit] = self._same(got[hit], flat, at[live[hit]], size[live[hit]])
+            out[live[hit]] = got[hit]
+            live = live[~hit]
             place[live] = (place[live] + 1) & last
-            got = self.table[place[live]]
-            out[live] = got
-            live = live[(got >= 0) & ((self.h1[got] != h1[live]) | (self.h2[got] != h2[live]))]
         return out
 
-    def add(self, h1: np.ndarray, h2: np.ndarray) -> None:
-        m = self.n + len(h1)
-        while m > len(self.h1):
-            self.h1, self.h2 = (np.concatenate([x, np.zeros_like(x)]) for x in (self.h1, self.h2))
-        self.h1[self.n : m], self.h2[self.n : m] = h1, h2
+    def add(self, words: pa.Array) -> None:
+        """Words that aren't there yet, all different."""
+        flat, at = bytes_of(words)
+        m, used = self.n + len(words), int(self.at[self.n])
+        while m > len(self.h):
+            self.h = np.concatenate([self.h, np.zeros_like(self.h)])
+            self.at = np.concatenate([self.at, np.zeros(len(self.h) + 1 - len(self.at), np.int64)])
+        while used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.h[self.n : m], self.at[self.n + 1 : m + 1] = _hashes(flat, at), used + at[1:]
+        self.flat[used : used + len(flat)] = flat
         new, self.n = np.arange(self.n, m), m
         if 2 * m > 1 << self.bits:
             self.bits = (4 * m - 1).bit_length()
@@ -236,8 +292,11 @@ class WordNumbers:
 
     def keep(self, numbers: np.ndarray) -> None:
         """Only these (sorted) stay, numbered anew."""
-        self.n = len(numbers)
-        self.h1[: self.n], self.h2[: self.n] = self.h1[numbers], self.h2[numbers]
+        first, size = self.at[numbers], np.diff(self.at)[numbers]
+        self.n, flat = len(numbers), self.flat[ragged(first, size)]
+        self.h[: self.n] = self.h[numbers]
+        self.at[1 : self.n + 1] = np.cumsum(size)
+        self.flat[: len(flat)] = flat
         self._fill()
 
 
@@ -279,13 +338,13 @@ class WordCache:
         """Of distinct words, which the codes refer to: their numbers; new ones are learned."""
         if self.numbers.n and self.numbers.n + len(words) > self.limit:
             self.forget()
-        h = word_hashes(words)
-        found = self.numbers.find(*h)
+        found = self.numbers.find(words)
         new = np.flatnonzero(found < 0)
         if len(new):
             found[new] = self.numbers.n + np.arange(len(new))
-            self.numbers.add(h[0][new], h[1][new])
-            self.learn(words.take(pa.array(new)).to_pylist())
+            unseen = words.take(pa.array(new))
+            self.numbers.add(unseen)
+            self.learn(unseen.to_pylist())
         self.used[found] += np.bincount(codes, minlength=len(words))
         return found
 

@@ -3,27 +3,30 @@
 1. Candidates. Every window of n bytes has an anchor: the leftmost smallest hash of its k-byte substrings. Equal
    windows have equal anchors at equal places, so a window whose anchor's hash occurs nowhere else is unique. The
    windows that share an anchor are a block (about 75 of them). An aggregation finds the hashes that repeat; only
-   their blocks go on, which leaves the repeats and their surroundings.
-2. Blocks of equal bytes (by digest) are one suffix-array entry with a multiplicity. Where all blocks of a hash
-   are equal there is nothing to sort.
+   their blocks go on, which leaves the repeats and their surroundings. Hashes that collide only bring more candidates.
+2. Blocks of equal bytes are one suffix-array entry with a multiplicity. Equal means: of equal keyed BLAKE2b digests
+   of 128 bits, with a key drawn for each call, so texts can't be made to collide; that any two of 10^12 different
+   blocks do has a probability under 2 ** -48. Where all blocks of a hash are equal there is nothing to sort.
 3. Suffix arrays. The distinct blocks are dealt by anchor hash: all suffixes that can share n bytes meet in one
    task. There a difference-cover (modulo 3) algorithm sorts them: it names the triples of two thirds of the
    suffixes, recurses on the names while they aren't distinct, sorts the other third by what it has, merges the
    two, and adjacent suffixes are compared over n bytes. No order between the tasks is needed, since their suffixes
    share no n bytes.
 4. A hash with over `hot` distinct blocks (a passage in very many contexts) isn't one task's: its windows are
-   counted by 128-bit digests in an aggregation that combines equal ones before the shuffle.
+   counted by digests of the same kind in an aggregation that combines equal ones before the shuffle. The result is
+   the same either way.
 5. The bytes covered are cut out of the texts, or counted.
 
-Texts are joined with their spans by a row id that follows from the place in the scan; docs must be read from
-files (or a table), as the same scan runs several times. Null text: empty. Repeated rows are repeats of each
-other. Extra columns are ignored (remove_repeats keeps them); an empty table gives an empty result.
+Rows are numbered and written once, so that the steps agree on them. Null text: empty. A long text is read in pieces of
+a mebibyte that overlap by n - 1; only cutting holds it whole. Repeated rows are repeats of each other, null ids are
+rows like others. Extra columns are ignored (remove_repeats keeps them); an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import gc
 import hashlib
+import os
 from functools import lru_cache
 
 import numpy as np
@@ -32,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markloom.llm.common import Workspace, flow, let_go, masked, slices, trim, unmasked
+from markloom.llm.common import Workspace, flow, let_go, masked, sent_if_small, slices, trim, unmasked
 
 N, K, HOT = 200, 50, 4096
 #: Windows of one pass of numpy, and symbols of one suffix array.
@@ -77,7 +80,7 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def blocks_of(flat: np.ndarray, at: np.ndarray, n: int = N, k: int = K):
-    """Blocks of concatenated texts: owner, first and last window (within the text), anchor hash, digest of the bytes."""
+    """Blocks of concatenated texts: owner, first and last window (within the text), anchor hash."""
     out = []
     for c in range(0, max(len(flat) - n + 1, 0), _CHUNK):
         data = flat[c : c + _CHUNK + n - 1]
@@ -100,10 +103,9 @@ def blocks_of(flat: np.ndarray, at: np.ndarray, n: int = N, k: int = K):
         outside = np.concatenate([np.flatnonzero(~inside), [windows]])
         stop = np.minimum(stop, outside[np.searchsorted(outside, starts)]) - 1
         owner = np.searchsorted(at, starts + c, "right") - 1
-        digest = r.of(prefix, starts, stop + n) ^ _mix((stop - starts).astype(_U))
-        out.append((owner, starts + c - at[owner], stop + c - at[owner], grams[anchor[starts]], digest))
+        out.append((owner, starts + c - at[owner], stop + c - at[owner], grams[anchor[starts]]))
     if not out:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, _U, _U))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, _U))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -127,13 +129,23 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64) if x.dtype == _U else x.astype(np.int64))
 
 
-def _anchors(n: int, k: int):
+def digests(flat: np.ndarray, first: np.ndarray, stop: np.ndarray, key: bytes) -> tuple[pa.Array, pa.Array]:
+    """Keyed 128-bit digests of stretches of bytes, as two longs."""
+    view, one = memoryview(np.ascontiguousarray(flat)), hashlib.blake2b
+    got = b"".join([one(view[a:b], digest_size=16, key=key).digest() for a, b in zip(first.tolist(), stop.tolist(), strict=True)])
+    two = np.frombuffer(got, np.int64).reshape(-1, 2)
+    return tuple(pa.array(np.ascontiguousarray(two[:, i])) for i in (0, 1))
+
+
+def _anchors(n: int, k: int, key: bytes):
     def run(batches):
         let_go()
         for b in slices(batches, "text", _CHUNK):
-            owner, s0, s1, h, d = blocks_of(*_flat(b.column("text")), n, k)
-            cols = [_long(h), _long(d), b.column("rid").take(pa.array(owner)), pa.array(s0.astype(np.int32)), pa.array(s1.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, names=["h", "d", "rid", "s0", "s1"])
+            flat, at = _flat(b.column("text"))
+            owner, s0, s1, h = blocks_of(flat, at, n, k)
+            d = digests(flat, at[owner] + s0, at[owner] + s1 + n, key)
+            cols = [_long(h), *d, b.column("rid").take(pa.array(owner)), pa.array(s0.astype(np.int32)), pa.array(s1.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, names=["h", "d1", "d2", "rid", "s0", "s1"])
 
     return run
 
@@ -244,16 +256,16 @@ def _sort_blocks(n: int):
     return run
 
 
-def _window_digests(n: int):
+def _window_digests(n: int, key: bytes):
+    """Blocks of hot hashes to their windows; a batch a block."""
+
     def run(batches):
         for b in batches:
             data, at = _flat(b.column("block"))
             for i in range(b.num_rows):
-                own = data[at[i] : at[i + 1]]
-                starts = np.arange(len(own) - n + 1)
-                two = [r.of(r.prefix(own), starts, starts + n) for r in (rolling(2), rolling(3))]
-                m = len(starts)
-                cols = [_long(two[0]), _long(two[1]), pa.array(np.full(m, b.column("rid")[i].as_py())), pa.array((starts + b.column("s0")[i].as_py()).astype(np.int32)), pa.array(np.full(m, b.column("c")[i].as_py()))]
+                starts = np.arange(at[i], at[i + 1] - n + 1)
+                m, rid, s0, c = len(starts), *(b.column(x)[i].as_py() for x in ("rid", "s0", "c"))
+                cols = [*digests(data, starts, starts + n, key), pa.array(np.full(m, rid)), pa.array((np.arange(m) + s0).astype(np.int32)), pa.array(np.full(m, c))]
                 yield pa.RecordBatch.from_arrays(cols, names=["w1", "w2", "rid", "start", "c"])
 
     return run
@@ -270,8 +282,8 @@ def _cut_blocks(n: int):
             view = data.tobytes()
             begin = at[owner] + s0
             block = pa.array([view[x:y] for x, y in zip(begin.tolist(), (begin + s1 - s0 + n).tolist(), strict=True)], pa.binary())
-            cols = [fields.field("h"), fields.field("nk"), fields.field("c"), b.column("rid").take(pa.array(owner)), fields.field("s0"), block]
-            yield pa.RecordBatch.from_arrays(cols, names=["h", "nk", "c", "rid", "s0", "block"])
+            cols = [fields.field("h"), fields.field("c"), b.column("rid").take(pa.array(owner)), fields.field("s0"), block]
+            yield pa.RecordBatch.from_arrays(cols, names=["h", "c", "rid", "s0", "block"])
 
     return run
 
@@ -282,43 +294,48 @@ def release(spark) -> None:
     spark._jvm.System.gc()
 
 
-def repeated_spans(rows: DataFrame, n: int = N, k: int = K, hot: int = HOT) -> tuple[DataFrame, Workspace]:
-    """rows: rid, text. Spans (rid, start, stop) in bytes, not merged, that cover every repeated window; their workspace."""
-    spark = rows.sparkSession
-    ws = Workspace(spark, "suffix")
-    anchors = ws.save(rows.mapInArrow(_anchors(n, k), "h long, d long, rid long, s0 int, s1 int"), "anchors")
-    twice = anchors.groupBy("h").agg(F.count("*").alias("n"), F.min("d").alias("low"), F.max("d").alias("high")).filter("n > 1")
-    twice = twice.select("h", (F.col("low") != F.col("high")).alias("multi"))
+def repeated_spans(rows: DataFrame, ws: Workspace, n: int = N, k: int = K, hot: int = HOT) -> DataFrame:
+    """rows: rid, text, a saved table. Spans (rid, start, stop) in bytes, not merged, that cover every repeated window."""
+    spark, key, digest = rows.sparkSession, os.urandom(16), ["d1", "d2"]
+    anchors = ws.save(rows.select("rid", "text").mapInArrow(_anchors(n, k, key), "h long, d1 long, d2 long, rid long, s0 int, s1 int"), "anchors")
+    ends = [f(c).alias(f"{c}_{name}") for c in digest for name, f in (("low", F.min), ("high", F.max))]
+    twice = anchors.groupBy("h").agg(F.count("*").alias("n"), *ends).filter("n > 1")
+    # saved, so that the join has a plain shuffle under it, which Spark can split where a hash is hot
+    twice = ws.save(twice.select("h", F.expr("d1_low != d1_high OR d2_low != d2_high").alias("multi")), "twice")
     repeated = ws.save(anchors.join(twice, "h"), "repeated")
     release(spark)
-    ws.drop("anchors")
+    ws.drop("anchors", "twice")
     pick = [F.first(c).alias(c) for c in ("rid", "s0", "s1")]  # of one row: all three are taken together
-    kinds = ws.save(repeated.filter("multi").groupBy("h", "d").agg(F.count("*").alias("c"), *pick), "kinds")
+    kinds = ws.save(repeated.filter("multi").groupBy("h", *digest).agg(F.count("*").alias("c"), *pick), "kinds")
     ends = ["rid", F.col("s0").alias("start"), (F.col("s1") + n).alias("stop")]
     spans = [
         repeated.filter("not multi").select(*ends),
-        repeated.filter("multi").join(kinds.filter("c > 1").select("h", "d"), ["h", "d"], "left_semi").select(*ends),
+        repeated.filter("multi").join(kinds.filter("c > 1").select("h", *digest), ["h", *digest], "left_semi").select(*ends),
     ]
-    counted = kinds.join(kinds.groupBy("h").agg(F.count("*").alias("nk")), "h")
-    want = counted.groupBy("rid").agg(F.collect_list(F.struct("h", "nk", "c", "s0", "s1")).alias("want"))
-    cut = rows.join(want, "rid").mapInArrow(_cut_blocks(n), "h long, nk long, c long, rid long, s0 int, block binary")
+    # a hash has over `hot` kinds: as many tables rows at most as there are kinds / hot
+    common = ws.save(kinds.groupBy("h").agg(F.count("*").alias("nk")).filter(F.col("nk") > hot).select("h"), "common")
+    want = kinds.groupBy("rid").agg(F.collect_list(F.struct("h", "c", "s0", "s1")).alias("want"))
+    cut = rows.select("rid", "text").join(want, "rid").mapInArrow(_cut_blocks(n), "h long, c long, rid long, s0 int, block binary")
     blocks = ws.save(cut, "blocks")
     release(spark)
-    dealt = blocks.filter(F.col("nk") <= hot).repartition(flow(spark), "h").sortWithinPartitions("h")
-    spans.append(dealt.mapInArrow(_sort_blocks(n), "rid long, start int, stop int"))
-    common = blocks.filter(F.col("nk") > hot)
+    sorted_ones = blocks
     if not common.isEmpty():
-        w = ws.save(common.mapInArrow(_window_digests(n), "w1 long, w2 long, rid long, start int, c long"), "windows")
-        more = w.groupBy("w1", "w2").count().filter("count > 1").select("w1", "w2")
+        common = sent_if_small(common)
+        sorted_ones = blocks.join(common, "h", "left_anti")
+        windows = blocks.join(common, "h", "left_semi").mapInArrow(_window_digests(n, key), "w1 long, w2 long, rid long, start int, c long")
+        w = ws.save(windows, "windows")
+        more = ws.save(w.groupBy("w1", "w2").count().filter("count > 1").select("w1", "w2"), "more")
         hits = w.filter("c = 1").join(more, ["w1", "w2"], "left_semi")
         spans.append(hits.select("rid", "start", (F.col("start") + n).alias("stop")))
+    dealt = sorted_ones.repartition(flow(spark), "h").sortWithinPartitions("h")
+    spans.append(dealt.mapInArrow(_sort_blocks(n), "rid long, start int, stop int"))
     out = spans[0]
     for s in spans[1:]:
         out = out.unionByName(s)
     found = ws.save(out, "spans")
     release(spark)
-    ws.drop("repeated"), ws.drop("kinds"), ws.drop("blocks"), ws.drop("windows")
-    return found, ws
+    ws.drop("repeated", "kinds", "common", "blocks", "windows", "more")
+    return found
 
 
 def _kept(size: int, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, int]:
@@ -346,8 +363,9 @@ def _each(batches):
 
 def _with_spans(docs: DataFrame, n: int, k: int, hot: int) -> DataFrame:
     """docs, masked, with rid and spans."""
-    rows = masked(docs, rid=F.monotonically_increasing_id())
-    spans, _ = repeated_spans(rows.select("rid", "text"), n, k, hot)
+    ws = Workspace(docs.sparkSession, "suffix")
+    rows = ws.numbered(docs)
+    spans = repeated_spans(rows, ws, n, k, hot)
     per = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return rows.join(per, "rid", "left")
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from markloom.llm.common import WordCache, Workspace, held, slices
+from markloom.llm.common import WordCache, Workspace, held, ragged, slices
 
 CAPACITY, END_ID = 2048, 0
 #: Words whose ids a worker keeps; beyond that it forgets the half that was needed least. Bounds memory, not results.
@@ -56,7 +56,7 @@ class WordIds(WordCache):
         best = self.most_used()
         first, size = self.rows[best].T
         ends = np.cumsum(size)
-        kept = self.store[_ragged(first, size)]
+        kept = self.store[ragged(first, size)]
         super().forget()
         self.store[: len(kept)], self.end = kept, len(kept)
         self.rows[: len(best), 0] = ends - size
@@ -83,16 +83,7 @@ class WordIds(WordCache):
         """All ids, and where those of each text begin (one more for the end)."""
         rows, at, _, _ = self.of(texts, lower=False)
         ends = np.concatenate([[0], np.cumsum(rows[:, 1], dtype=np.int64)])
-        return self.store[_ragged(rows[:, 0], rows[:, 1])], ends[at]
-
-
-def _ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """first[0], first[0] + 1, ... (size[0] of them), first[1], ..."""
-    ends = np.cumsum(size, dtype=np.int64)
-    if not len(ends):
-        return np.zeros(0, np.int64)
-    shift = first - (ends - size)
-    return np.repeat(shift.astype(np.int32), size) + np.arange(ends[-1], dtype=np.int32)
+        return self.store[ragged(rows[:, 0], rows[:, 1])], ends[at]
 
 
 def word_ids(path: str) -> WordIds:
@@ -204,6 +195,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     runs = best_fit({r["length"]: r["n"] for r in totals}, capacity)
     w = Window.partitionBy("length").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("length", "pid", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
-    ranked = pieces.join(before, ["pid", "length"])
+    # counts grow with the number of tasks: never broadcast
+    ranked = pieces.join(before.hint("merge"), ["pid", "length"])
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     return ranked.mapInArrow(_assign(runs, capacity), schema)

@@ -59,11 +59,50 @@ def test_chunks_of_long_texts(monkeypatch):
     data = r.integers(97, 100, 5000).astype(np.uint8)
     at = np.array([0, 100, 100, 3000, 5000])
     monkeypatch.setattr(op, "_CHUNK", 512)
-    owner, s0, s1, _, _ = op.blocks_of(data, at, 50, 10)
+    owner, s0, s1, _ = op.blocks_of(data, at, 50, 10)
     seen = sorted(w for o, a, b in zip(owner, s0, s1, strict=True) for w in [(o, x) for x in range(a, b + 1)])
     assert seen == [(o, x) for o in range(4) for x in range(max(0, at[o + 1] - at[o] - 50 + 1))]
 
 
+def thue_morse(one, two, rounds=10):
+    a, b = one, two
+    for _ in range(rounds):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_texts_whose_polynomial_hashes_collide(spark, tmp_path):
+    """Any polynomial hash modulo 2**64 takes these for equal; bytes don't."""
+    rows = [(i, t) for i, t in enumerate([*thue_morse("a", "b"), *thue_morse("e", "q"), *thue_morse("xy", "zw")])]
+    df = stored(spark, spark.createDataFrame(rows, "doc_id long, text string"), tmp_path)
+    for n in (1000, 1024):
+        for hot in (op.HOT, 0):
+            assert sorted(tuple(x) for x in op.repeats_report(df, n, 10, hot).collect()) == brute(rows, n), (n, hot)
+    data = np.frombuffer("".join(thue_morse("a", "b")).encode(), np.uint8)
+    prefix = op.rolling(1).prefix(data)
+    same = op.rolling(1).of(prefix, np.array([0, 1024]), np.array([1024, 2048]))
+    one, two = op.digests(data, np.array([0, 1024]), np.array([1024, 2048]), b"k" * 16)
+    assert same[0] == same[1] and one[0] != one[1] and two[0] != two[1]
+
+
+def test_rows_keep_their_numbers(spark, tmp_path):
+    """The scan is split otherwise between the call and the action."""
+    shared = prose(9, 60)
+    df = spark.createDataFrame([(i, prose(i, 40) + (shared if i % 3 == 0 else "")) for i in range(300)], "doc_id long, text string")
+    df.repartition(8).write.parquet(str(tmp_path / "many"))
+    docs = spark.read.parquet(str(tmp_path / "many"))
+    want = {r["doc_id"]: r["text"] for r in op.remove_repeats(docs).collect()}
+    key = "spark.sql.files.minPartitionNum"
+    spark.conf.set(key, "8")
+    try:
+        cut = op.remove_repeats(spark.read.parquet(str(tmp_path / "many")))
+        spark.conf.set(key, "1")
+        assert {r["doc_id"]: r["text"] for r in cut.collect()} == want
+    finally:
+        spark.conf.unset(key)
+    assert len(want) == 300 and all((shared[:200] in t) is False for t in want.values())
+
+
 def test_awkward(spark, tmp_path):
     df = stored(spark, awkward(spark), tmp_path)
     rows = [(r["doc_id"], r["text"]) for r in df.collect()]

@@ -24,6 +24,16 @@ def test_ids_are_the_tokenizer_s(words, monkeypatch):
             assert ids[at[i] : at[i + 1]].tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids, t[:40]
 
 
+def test_words_whose_hashes_collide(words):
+    from tests.llm.test_op4_suffix import thue_morse
+
+    texts = [*thue_morse("a", "b"), *thue_morse("e", "q"), *thue_morse("b", "a")]
+    for _ in range(2):
+        ids, at = words.ids(pa.array(texts))
+        for i, t in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def check_runs(runs, counts, capacity):
     """Every rank once, no overlap, no gap; the number of sequences."""
     held = {}
