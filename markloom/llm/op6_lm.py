@@ -1,29 +1,27 @@
 """Language-model scoring by a subword lattice.
 
-The model is a unigram model over the pieces of an existing vocabulary file (its scores are the start). A text is
-its words, A-Z lower-cased, each with the vocabulary's word mark before it, then an end event. The probability of
-a word is the sum over all its segmentations into pieces, by a forward recursion in log space; a character that
-is no piece is spelled by its byte pieces. A word seen in training has one more arc in its lattice, from its start
-to its end, weighted by its discounted count; what the discounts leave is the weight of the segmentations. So the
-probability of a text is the product over its words and the end. Where the training documents come in groups (their
-languages), each group has piece and word weights of its own, and the text's probability is the sum over the groups, by
-their shares of the documents: which group a text is of is never asked. At most `GROUPS` groups are told apart.
-
-Training. The words of the training documents are counted by an aggregation over the whole corpus; the counts are
-a distributed table that grows with the input. Each EM round runs the forward-backward recursion over all
-distinct words and sums expected piece counts (as many numbers as pieces, whatever the input). Each word counts
-once there, since segmentations matter most for words that are rare or new. The discount is estimated from the
-numbers of words seen once and twice.
+The model is a unigram model over the pieces of an existing vocabulary file. A text is its words, A-Z lower-cased, each
+with the vocabulary's word mark before it, then an end event. The probability of a word is the sum over all its
+segmentations into pieces, by a forward recursion in log space; a character that is no piece is spelled by its byte
+pieces. The probability of a text is the product over its words and the end: the marginal over all segmentations of the
+whole text, as no piece crosses a word's mark.
+
+Weights. The file's scores are the start: they are negated ranks, read by Zipf's law. `rounds` rounds of EM over the
+words of the training documents, each weighted by its count, then fit the weights to the corpus; with none the file's
+weights stay. The words are counted by an aggregation over the whole corpus; the counts are a distributed table that
+grows with the input. A round runs the forward-backward recursion over all distinct words and sums expected piece counts
+(as many numbers as pieces, whatever the input).
 
 Scoring. A word's lattice value needs only the pieces. Its count is needed by the base score: counts of the
 `common` most frequent words are sent to every task (a fixed number); the other words of a text, none of which is
 frequent, are joined with the counts table. No word is hot in that join.
 
 Lattices of many words are computed at once: words of equal length are a matrix of code points, and substrings are
-looked up at once by 64-bit rolling hashes in an open-addressing table.
+looked up at once by 64-bit rolling hashes in an open-addressing table, then compared by their characters.
 
-Null text: empty; it has the end token alone. A null doc_id's hash is that of an empty text. Repeated rows each
-give a row. Extra columns are ignored; an empty table gives an empty result.
+Null text: empty; it has the end token alone. A very long word goes by itself, with a number for each of its characters.
+A null doc_id's hash is that of an empty text. Repeated rows each give a row. Extra columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,12 +32,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markloom.llm.common import WordCache, WordNumbers, Workspace, held, id_hash_remainder, let_go, slices, sums, trim, word_hashes, words_of
+from markloom.llm.common import WordCache, WordNumbers, Workspace, held, id_hash_remainder, let_go, slices, sums, trim, words_of
 
-ROUNDS, COMMON, GROUPS = 3, 300_000, 6
+ROUNDS, COMMON = 2, 300_000
 #: Added to each expected piece count.
 PRIOR = 0.1
 #: Longer words go one by one, not by matrix.
@@ -79,18 +77,16 @@ class Lattice:
     """Forward (and backward) recursion over the segmentations of words."""
 
     def __init__(self, path: str, log_p: np.ndarray):
-        """log_p: a row for each model, or one row."""
         self.pieces, _, self.byte = vocabulary(path)
-        log_p = np.atleast_2d(log_p)
-        self.log_p = np.hstack([log_p, np.full((len(log_p), 1), _LOW)])  # the last one stands for no piece
+        self.log_p = np.append(log_p, _LOW)  # the last one stands for no piece
         self.index = {p: i for i, p in enumerate(self.pieces)}
-        self.longest = max(map(len, self.pieces))
+        self.size = np.fromiter(map(len, self.pieces), np.int64, len(self.pieces))
+        self.longest = int(self.size.max())
+        flat = "".join(p.ljust(self.longest, "\0") for p in self.pieces)
+        self.points = np.frombuffer(flat.encode("utf-32-le"), np.uint32).reshape(len(self.pieces), -1)
         self.power = np.multiply.accumulate(np.concatenate([[_U(1)], np.full(MATRIX_CHARS, _BASE)]))
         self.back = np.multiply.accumulate(np.concatenate([[_U(1)], np.full(MATRIX_CHARS, _U(pow(int(_BASE), -1, 1 << 64)))]))
-        h = np.zeros(len(self.pieces), np.uint64)
-        for i, p in enumerate(self.pieces):
-            points = np.array([ord(c) for c in p], np.uint64)
-            h[i] = (points * self.power[: len(p)]).sum(dtype=np.uint64)
+        h = (self.points * self.power[: self.longest]).sum(axis=1, dtype=np.uint64)
         self.bits = _U((4 * len(h) - 1).bit_length())
         self.last = (1 << int(self.bits)) - 1
         self.keys, self.ids = np.zeros(self.last + 1, np.uint64), np.full(self.last + 1, -1, np.int64)
@@ -125,8 +121,8 @@ class Lattice:
     def _spelled(self, char: str) -> list[int]:
         return [int(self.byte[b]) for b in char.encode("utf-8", "surrogatepass")]
 
-    def _matrix(self, points: np.ndarray, models: list[int], into: np.ndarray | None) -> np.ndarray:
-        """Words of one length, as a row of code points for each character's place; a row of log values for each model."""
+    def _matrix(self, points: np.ndarray, weight: np.ndarray | None, into: np.ndarray | None) -> np.ndarray:
+        """Log values of words of one length, a row of code points for each character's place."""
         width, n = points.shape
         arcs = [(e - k, e) for e in range(1, width + 1) for k in range(1, min(e, self.longest) + 1)]
         start, end = np.array(arcs).T
@@ -134,81 +130,87 @@ class Lattice:
         np.cumsum(points * self.power[:width, None], axis=0, out=prefix[1:])
         h = (prefix[end] - prefix[start]) * self.back[start, None]
         ids = self._find(h.ravel()).reshape(h.shape)
+        for i, (a, b) in enumerate(arcs):  # a hash only says where to look
+            hit = np.flatnonzero(ids[i] >= 0)
+            piece = ids[i, hit]
+            same = (self.size[piece] == b - a) & (self.points[piece, : b - a] == points[a:b, hit].T).all(axis=1)
+            ids[i, hit[~same]] = -1
+        value = self.log_p[ids]
         # characters that are no piece are spelled by their bytes
         spelled: list[tuple[int, np.ndarray, list[int]]] = []
         for i in np.flatnonzero(end - start == 1):
             odd = np.flatnonzero(ids[i] < 0)
             for c in np.unique(points[end[i] - 1, odd]):
-                spelled.append((int(i), odd[points[end[i] - 1, odd] == c], self._spelled(chr(int(c)))))
-        by_end = [np.flatnonzero(end == e) for e in range(width + 1)]
-        by_start = [np.flatnonzero(start == s) for s in range(width + 1)]
-        out = np.zeros((len(models), n))
-        for j, model in enumerate(models):
-            log_p = self.log_p[model]
-            value = log_p[ids]
+                own = self._spelled(chr(int(c)))
+                rows = odd[points[end[i] - 1, odd] == c]
+                value[i, rows] = self.log_p[own].sum()
+                spelled.append((int(i), rows, own))
+        alpha = np.zeros((width + 1, n))
+        for e in range(1, width + 1):
+            own = np.flatnonzero(end == e)
+            alpha[e] = _log_sum(alpha[start[own]] + value[own])
+        if into is not None:
+            beta = np.zeros((width + 1, n))
+            for s in range(width - 1, -1, -1):
+                own = np.flatnonzero(start == s)
+                beta[s] = _log_sum(beta[end[own]] + value[own])
+            share = np.exp(np.minimum(0, alpha[start] + value + beta[end] - alpha[width])) * weight
+            into += np.bincount(ids.ravel() + 1, share.ravel(), minlength=len(into) + 1)[1:]
             for i, rows, own in spelled:
-                value[i, rows] = log_p[own].sum()
-            alpha = np.zeros((width + 1, n))
-            for e in range(1, width + 1):
-                alpha[e] = _log_sum(alpha[start[by_end[e]]] + value[by_end[e]])
-            out[j] = alpha[width]
-            if into is not None:
-                beta = np.zeros((width + 1, n))
-                for s in range(width - 1, -1, -1):
-                    beta[s] = _log_sum(beta[end[by_start[s]]] + value[by_start[s]])
-                share = np.exp(np.minimum(0, alpha[start] + value + beta[end] - alpha[width]))
-                into += np.bincount(ids.ravel() + 1, share.ravel(), minlength=len(into) + 1)[1:]
-                for i, rows, own in spelled:
-                    for k in own:
-                        into[k] += share[i, rows].sum()
-        return out
-
-    def _single(self, word: str, model: int, into: np.ndarray | None) -> float:
-        """A long word, by a dictionary."""
-        n, log_p = len(word), self.log_p[model]
-        alpha, beta = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
-        alpha[0] = beta[n] = 0
-        arcs = []
+                for k in own:
+                    into[k] += share[i, rows].sum()
+        return alpha[width]
+
+    def _arcs(self, word: str, end: int) -> list[tuple[int, float, list[int]]]:
+        """Start, log weight and pieces of what can end there."""
+        own = []
+        for start in range(max(0, end - self.longest), end):
+            i = self.index.get(word[start:end])
+            if i is not None:
+                own.append((start, float(self.log_p[i]), [i]))
+        if not own or own[-1][0] != end - 1:
+            ids = self._spelled(word[end - 1])
+            own.append((end - 1, float(self.log_p[ids].sum()), ids))
+        return own
+
+    def _single(self, word: str, weight: float = 1.0, into: np.ndarray | None = None) -> float:
+        """A long word, place by place."""
+        n = len(word)
+        alpha = np.full(n + 1, -np.inf)
+        alpha[0] = 0
         for end in range(1, n + 1):
-            own = []
-            for start in range(max(0, end - self.longest), end):
-                i = self.index.get(word[start:end])
-                if i is not None:
-                    own.append((start, end, log_p[i], [i]))
-            if not own or own[-1][0] != end - 1:
-                ids = self._spelled(word[end - 1])
-                own.append((end - 1, end, log_p[ids].sum(), ids))
-            x = np.array([alpha[a] + p for a, _, p, _ in own])
-            alpha[end] = x.max() + math.log(np.exp(x - x.max()).sum())
-            if into is not None:
-                arcs += own
+            x = [alpha[a] + p for a, p, _ in self._arcs(word, end)]
+            top = max(x)
+            alpha[end] = top + math.log(sum(math.exp(y - top) for y in x))
         if into is not None:
-            for start, end, p, _ in reversed(arcs):
-                beta[start] = np.logaddexp(beta[start], beta[end] + p)
-            for start, end, p, ids in arcs:
-                share = math.exp(min(0.0, alpha[start] + p + beta[end] - alpha[n]))
-                for j in ids:
-                    into[j] += share
+            beta = np.full(n + 1, -np.inf)
+            beta[n] = 0
+            for end in range(n, 0, -1):  # what begins at `end` has been seen
+                for start, p, ids in self._arcs(word, end):
+                    beta[start] = np.logaddexp(beta[start], beta[end] + p)
+                    share = weight * math.exp(min(0.0, alpha[start] + p + beta[end] - alpha[n]))
+                    for j in ids:
+                        into[j] += share
         return float(alpha[n])
 
-    def words(self, words: list[str], models: list[int] | None = None, into: np.ndarray | None = None) -> np.ndarray:
-        """Natural log probability of each word with its mark, a column for each model; adds expected piece counts to `into`."""
-        models = list(range(len(self.log_p))) if models is None else models
-        out = np.zeros((len(words), len(models)))
+    def words(self, words: list[str], weights: np.ndarray | None = None, into: np.ndarray | None = None) -> np.ndarray:
+        """Natural log probability of each word with its mark; adds expected piece counts, by weight, to `into`."""
+        out = np.zeros(len(words))
         marked = [MARK + w for w in words]
+        weights = np.ones(len(words)) if weights is None else weights
         size = np.fromiter(map(len, marked), np.int64, len(marked))
         for width in np.unique(size).tolist():
             own = np.flatnonzero(size == width)
             if width > MATRIX_CHARS:
                 for i in own.tolist():
-                    out[i] = [self._single(marked[i], m, into) for m in models]
+                    out[i] = self._single(marked[i], float(weights[i]), into)
                 continue
             step = max(64, 1_000_000 // (width * min(width, self.longest)))
             for k in range(0, len(own), step):
                 part = own[k : k + step]
                 flat = "".join([marked[i] for i in part.tolist()]).encode("utf-32-le", "surrogatepass")
                 points = np.ascontiguousarray(np.frombuffer(flat, np.uint32).reshape(len(part), width).T.astype(np.uint64))
-                out[part] = self._matrix(points, models, into).T
+                out[part] = self._matrix(points, weights[part], into)
         return out
 
 
@@ -217,74 +219,54 @@ def _log_sum(x: np.ndarray) -> np.ndarray:
     return top + np.log(np.exp(x - top).sum(axis=0))
 
 
-def _count_batches(groups: int):
-    def run(batches):
-        let_go()
-        for b in slices(batches, "text", 2_000_000):
-            codes, names, at = words_of(pc.ascii_lower(pc.fill_null(b.column("text"), "")))
-            group = np.repeat(b.column("g").to_numpy(), np.diff(at))
-            pair, n = np.unique(codes.astype(np.int64) * groups + group, return_counts=True)
-            cols = [names.take(pa.array(pair // groups)), pa.array((pair % groups).astype(np.int32)), pa.array(n)]
-            yield pa.RecordBatch.from_arrays(cols, names=["word", "g", "c"])
-
-    return run
-
+def _count_batches(batches):
+    let_go()
+    for b in slices(batches, "text", 2_000_000):
+        codes, names, _ = words_of(pc.ascii_lower(pc.fill_null(b.column("text"), "")))
+        yield pa.RecordBatch.from_arrays([names, pa.array(np.bincount(codes, minlength=len(names)))], names=["word", "c"])
 
-def _per_group(groups: int) -> list[str]:
-    return [f"c{k}" for k in range(groups)]
 
-
-def word_counts(docs: DataFrame, groups: int) -> DataFrame:
-    """text, g to word, c0, c1, ...: how often each word occurs in the texts of each group."""
-    parts = docs.select("text", "g").mapInArrow(_count_batches(groups), "word string, g int, c long")
-    return parts.groupBy("word").agg(*[F.sum(F.when(F.col("g") == k, F.col("c")).otherwise(0)).alias(c) for k, c in enumerate(_per_group(groups))])
+def word_counts(docs: DataFrame) -> DataFrame:
+    """text to word, c."""
+    return docs.select("text").mapInArrow(_count_batches, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def _expect(path: str, log_p: np.ndarray):
-    groups = len(log_p)
-
     def run(batches):
         let_go()
-        lattice, into, words = Lattice(path, log_p), np.zeros((groups, log_p.shape[1])), [[] for _ in range(groups)]
+        lattice, into, words, weights = Lattice(path, log_p), np.zeros(len(log_p)), [], []
 
-        def use(k: int) -> None:
-            lattice.words(words[k], [k], into[k])
-            words[k] = []
+        def use() -> None:
+            lattice.words(words, np.array(weights, np.float64), into)
+            words.clear(), weights.clear()
 
         for b in batches:
-            own = b.column("word").to_pylist()
-            for k in range(groups):
-                words[k] += [own[i] for i in np.flatnonzero(b.column(f"c{k}").to_numpy()).tolist()]
-                if len(words[k]) >= 100_000:  # fuller matrices
-                    use(k)
-        for k in range(groups):
-            use(k)
-        cols = [pa.array(np.arange(into.size)), pa.array(into.ravel())]
-        yield pa.RecordBatch.from_arrays(cols, names=["piece", "e"])
+            words += b.column("word").to_pylist()
+            weights += b.column("c").to_pylist()
+            if len(words) >= 100_000:  # fuller matrices
+                use()
+        use()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(into))), pa.array(into)], names=["piece", "e"])
         trim()
 
     return run
 
 
-def train(counts: DataFrame, path: str, groups: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Log probabilities of the pieces (and of the byte pieces after them) in each group, by EM over all its distinct words."""
+def train(counts: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
+    """Log probabilities of the pieces (and of the byte pieces after them), by EM from the file's weights."""
     _, start, _ = vocabulary(path)
-    log_p = np.tile(np.log(start / start.sum()), (groups, 1))
+    log_p = np.log(start / start.sum())
     for _ in range(rounds):
         rows = counts.mapInArrow(_expect(path, log_p), "piece long, e double").groupBy("piece").agg(F.sum("e").alias("e"))
-        e = np.full(log_p.size, PRIOR)
-        for r in rows.collect():  # a number per piece and group
+        e = np.full(len(log_p), PRIOR)
+        for r in rows.collect():  # a number per piece
             e[r["piece"]] += r["e"]
-        e = e.reshape(log_p.shape)
-        log_p = np.log(e / e.sum(axis=1, keepdims=True))
+        log_p = np.log(e / e.sum())
     return log_p
 
 
-def _most_common(counts: DataFrame, groups: int, common: int) -> tuple[WordNumbers, np.ndarray]:
-    """At most `common` words: those above the count at which there are as many, by a histogram on a log scale.
-    Their numbers (by hashes: no strings are sent), and their counts by group."""
-    names, numbers = _per_group(groups), WordNumbers()
-    counts = counts.withColumn("c", sum((F.col(c) for c in names), F.lit(0)))
+def _most_common(counts: DataFrame, common: int) -> tuple[pa.Array, np.ndarray]:
+    """At most `common` words and their counts: those above the count at which there are as many, by a histogram on a log scale."""
     level = F.floor(F.log2(F.col("c").cast("double")) * 32).cast("int")
     sizes = {r["level"]: r["count"] for r in counts.groupBy(level.alias("level")).count().collect()}
     total, least = 0, None
@@ -294,119 +276,80 @@ def _most_common(counts: DataFrame, groups: int, common: int) -> tuple[WordNumbe
             break
         least = k
     if least is None:
-        return numbers, np.zeros((1, groups), np.int64)
-    rows = counts.filter(level >= least).select("word", *names).toArrow()
-    numbers.add(*word_hashes(rows["word"].combine_chunks()))
-    return numbers, np.stack([rows[c].to_numpy() for c in names], 1)
+        return pa.array([], pa.string()), np.zeros(0, np.int64)
+    rows = counts.filter(level >= least).select("word", "c").toArrow().combine_chunks()
+    return rows["word"].combine_chunks(), rows["c"].to_numpy()
 
 
-def _score_batches(model: str, path: str, log_p, known, below: float, tokens, rest, discount):
-    """tokens, rest, discount: of each group, its words, what the discounts leave for segmentations, the discount."""
+def _numbered(words: pa.Array) -> WordNumbers:
+    numbers = WordNumbers()
+    if len(words):
+        numbers.add(words)
+    return numbers
 
+
+def _score_batches(model: str, path: str, log_p, known, below: float):
     def run(batches):
         from pyspark import TaskContext
 
-        p, (common, matrix) = log_p.value, known.value
-        lattice, pid, nth, groups = Lattice(path, p), TaskContext.get().partitionId(), 0, len(p)
+        words, counts = known.value
+        common = _numbered(words)
+        counts = np.append(counts, -1)  # of words that aren't common
+        lattice, pid, nth = Lattice(path, log_p.value), TaskContext.get().partitionId(), 0
 
         def compute(words: list[str]) -> np.ndarray:
-            at = common.find(*word_hashes(pa.array(words, pa.string())))
-            c = matrix[at]
-            spelled = lattice.words(words)
-            with np.errstate(divide="ignore"):
-                mixed = np.logaddexp(np.log(np.maximum(c - discount, 0) / np.maximum(tokens, 1)), np.log(rest) + spelled)
-            seen = at >= 0  # the rows of others aren't used
-            value = np.where(seen[:, None], mixed, spelled) / math.log(10)
-            return np.hstack([np.where(seen, c.sum(axis=1), -1)[:, None], value])
+            return np.stack([counts[common.find(pa.array(words, pa.string()))], lattice.words(words) / math.log(10)], 1)
 
         cache = held(("lm", model), lambda: WordCache(compute, limit=250_000))
         cache.compute = compute
+        names = ["rid", "doc_id", "held_out", "word", "base_score", "n_words", "n_known", "score"]
         for b in slices(batches, "text"):
-            values, at, names, codes = cache.of(b.column("text"))
-            docs = len(at) - 1
-            c = values[:, 0]
+            values, at, distinct, codes = cache.of(b.column("text"))
+            docs, c = len(at) - 1, values[:, 0]
             seen = c >= 0
             base = np.where(seen, np.log10(np.maximum(c, 0) + 1) - below, 0.0)
             rid = (np.int64(pid) << np.int64(40)) + nth + np.arange(docs)
             nth += docs
-            total = sums(np.where(seen[:, None], values[:, 1:], 0.0), at)
-            own = [pa.array(rid), b.column("doc_id"), b.column("held_out"), pa.nulls(docs, pa.string())]
-            own += [pa.array(sums(base, at)), pa.array(np.diff(at)), pa.array(sums(seen & (c > 0), at).astype(np.int64))]
-            own += [pa.array(total[:, k]) for k in range(groups)]
-            out = ["rid", "doc_id", "held_out", "word", "base_score", "n_words", "n_known", *(f"s{k}" for k in range(groups))]
-            yield pa.RecordBatch.from_arrays(own, names=out)
+            own = [pa.array(rid), b.column("doc_id"), b.column("held_out"), pa.nulls(docs, pa.string()), pa.array(sums(base, at))]
+            own += [pa.array(np.diff(at)), pa.array(sums(seen & (c > 0), at).astype(np.int64)), pa.array(sums(values[:, 1], at))]
+            yield pa.RecordBatch.from_arrays(own, names=names)
             rare = np.flatnonzero(~seen)
             if len(rare):
                 owner = np.searchsorted(at, rare, "right") - 1
-                pair, first, times = np.unique(owner * np.int64(len(names)) + codes[rare], return_index=True, return_counts=True)
+                pair, times = np.unique(owner * np.int64(len(distinct)) + codes[rare], return_counts=True)
                 m = len(pair)
-                own = [pa.array(rid[pair // len(names)]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), names.take(pa.array(pair % len(names)))]
-                own += [pa.array(np.zeros(m)), pa.array(times), pa.array(np.zeros(m, np.int64))]
-                own += [pa.array(values[rare[first], 1 + k]) for k in range(groups)]
-                yield pa.RecordBatch.from_arrays(own, names=out)
+                own = [pa.array(rid[pair // len(distinct)]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), distinct.take(pa.array(pair % len(distinct)))]
+                zeros = pa.array(np.zeros(m))
+                yield pa.RecordBatch.from_arrays([*own, zeros, pa.array(times), pa.array(np.zeros(m, np.int64)), zeros], names=names)
 
     return run
 
 
-def _grouped(docs: DataFrame, learned: Column, group: str | None) -> tuple[DataFrame, int]:
-    """docs with g, the number of their group: the GROUPS - 1 largest of the learned documents, and all others."""
-    if group is None:
-        return docs.withColumn("g", F.lit(0)), 1
-    sizes = docs.filter(learned).groupBy(group).count()
-    top = sizes.filter(F.col(group).isNotNull()).orderBy(F.desc("count"), group).limit(GROUPS - 1).collect()
-    g = F.lit(len(top))
-    for k, r in enumerate(top):
-        g = F.when(F.col(group) == r[group], k).otherwise(g)
-    others = (sizes.agg(F.sum("count")).first()[0] or 0) > sum(r["count"] for r in top)
-    return docs.withColumn("g", g.cast("int")), max(1, len(top) + others)
-
-
-def score(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS, common: int = COMMON, group: str | None = None) -> DataFrame:
-    """doc_id, held_out (never learned from), text to n_tokens, n_known, train_tokens, base_score, score (log10).
-    group: a column that tells groups of documents; of held-out ones it isn't looked at."""
+def score(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS, common: int = COMMON) -> DataFrame:
+    """doc_id, held_out (never learned from), text to n_tokens, n_known, train_tokens, base_score, score (log10)."""
     spark, path = docs.sparkSession, path or default_vocabulary()
     ws = Workspace(spark, "lm")
-    docs, groups = _grouped(docs, ~F.col("held_out"), group)
-    learned, names = docs.filter(~F.col("held_out")), _per_group(groups)
-    counts = ws.save(word_counts(learned, groups), "counts")
-    in_group = {r["g"]: r["count"] for r in learned.groupBy("g").count().collect()}
-    ends = np.array([in_group.get(k, 0) for k in range(groups)])
-    tally = [F.count("*").alias("v")]
-    for c in names:
-        tally += [F.coalesce(F.sum(c), F.lit(0)).alias(f"n_{c}"), F.count(F.when(F.col(c) > 0, 1)).alias(f"v_{c}")]
-        tally += [F.count(F.when(F.col(c) == k, 1)).alias(f"n{k}_{c}") for k in (1, 2)]
-    total = counts.agg(*tally).first()
-    tokens, kinds, once, twice = (np.array([total[f"{k}_{c}"] for c in names], np.float64) for k in ("n", "v", "n1", "n2"))
-    discount = np.where(once > 0, np.clip(once / np.maximum(once + 2 * twice, 1), 0.05, 0.95), 0.5)
-    rest = np.where(tokens > 0, discount * kinds / np.maximum(tokens, 1), 1.0)
-    n, v, documents = int(tokens.sum()) + int(ends.sum()), total["v"] + bool(ends.sum()), int(ends.sum())
+    learned = docs.filter(~F.col("held_out"))
+    counts = ws.save(word_counts(learned), "counts")
+    documents = learned.count()
+    total = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
+    n, v = total["n"] + documents, total["v"] + bool(documents)
     below = math.log10(n + v + 1)
-    log_p = train(counts, path, groups, rounds)
-    end_p = (ends + PRIOR) / (tokens + ends + 3 * PRIOR)  # after a word comes another one, or the end
-    share = (ends + PRIOR) / (ends.sum() + PRIOR * groups)
-    sent, known = spark.sparkContext.broadcast(log_p), spark.sparkContext.broadcast(_most_common(counts, groups, common))
-    schema = "rid long, doc_id long, held_out boolean, word string, base_score double, n_words long, n_known long" + "".join(f", s{k} double" for k in range(groups))
+    log_p = train(counts, path, rounds)
+    end_p = (documents + PRIOR) / (n + 3 * PRIOR)  # after a word comes another one, or the end
+    sent, known = spark.sparkContext.broadcast(log_p), spark.sparkContext.broadcast(_most_common(counts, common))
+    schema = "rid long, doc_id long, held_out boolean, word string, base_score double, n_words long, n_known long, score double"
     # written once: row ids must not change where a task runs again
-    run = _score_batches(ws.root, path, sent, known, below, tokens, rest, discount)
+    run = _score_batches(ws.root, path, sent, known, below)
     rows = ws.save(docs.select("doc_id", "held_out", "text").mapInArrow(run, schema), "rows")
     rare = rows.filter(F.col("word").isNotNull()).join(counts, "word", "left")
-    c = sum((F.coalesce(x, F.lit(0)) for x in names), F.lit(0))
-
-    def mixed(k: int) -> Column:
-        """log10 of the word's probability in a group, from that of its segmentations."""
-        own, spelled = F.coalesce(f"c{k}", F.lit(0)), F.col(f"s{k}")
-        whole = F.log10((own - float(discount[k])) / max(float(tokens[k]), 1.0))
-        parts = math.log10(rest[k]) + spelled
-        high, low = F.greatest(whole, parts), F.least(whole, parts)
-        return F.when(own > float(discount[k]), high + F.log10(1 + F.pow(F.lit(10.0), low - high))).otherwise(parts)
-
-    rare = rare.select("rid", "doc_id", "held_out", (F.col("n_words") * (F.log10(c + 1) - below)).alias("base_score"), F.lit(0).cast("long").alias("n_words"), F.when(c > 0, F.col("n_words")).otherwise(0).alias("n_known"), *[(F.col("n_words") * mixed(k)).alias(f"s{k}") for k in range(groups)])
+    c, zero = F.coalesce("c", F.lit(0)), F.lit(0).cast("long")
+    found = F.when(c > 0, F.col("n_words")).otherwise(zero)
+    rare = rare.select("rid", "doc_id", "held_out", (F.col("n_words") * (F.log10(c + 1) - below)).alias("base_score"), zero.alias("n_words"), found.alias("n_known"), "score")
     own = rows.filter(F.col("word").isNull()).drop("word")
     # words counted above have their numbers; a text's own row has the number of all its words
-    added = ["base_score", "n_words", "n_known", *(f"s{k}" for k in range(groups))]
+    added = ["base_score", "n_words", "n_known", "score"]
     per = own.unionByName(rare).groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *[F.sum(k).alias(k) for k in added])
-    each = [F.col(f"s{k}") + F.col("n_words") * math.log10(1 - end_p[k]) + (math.log10(end_p[k]) + math.log10(share[k])) for k in range(groups)]
-    most = F.greatest(*each) if groups > 1 else each[0]
     return per.select(
         "doc_id",
         "held_out",
@@ -414,12 +357,10 @@ def score(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS, common
         (F.col("n_known") + int(documents > 0)).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base_score") + (math.log10(documents + 1) - below)).alias("base_score"),
-        (most + F.log10(sum((F.pow(F.lit(10.0), x - most) for x in each), F.lit(0.0)))).alias("score"),
+        (F.col("score") + F.col("n_words") * math.log10(1 - end_p) + math.log10(end_p)).alias("score"),
     )
 
 
 def lm_score(docs: DataFrame) -> DataFrame:
-    """Learns from the documents whose id hash is not 2 modulo 7, in groups by lang where there is one, scores all."""
-    group = "lang" if "lang" in docs.columns else None
-    held = (id_hash_remainder(F.col("doc_id"), 7) == 2).alias("held_out")
-    return score(docs.select("doc_id", "text", held, *([group] if group else [])), group=group)
+    """Learns from the documents whose id hash is not 2 modulo 7, scores all."""
+    return score(docs.select("doc_id", "text", (id_hash_remainder(F.col("doc_id"), 7) == 2).alias("held_out")))
