@@ -54,7 +54,7 @@ def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from markloom.llm import op8_license as op
 
-    return op.license_scan(table(spark, sf_dir, "documents")).drop("spans")
+    return op.license_scan(table(spark, sf_dir, "documents"), spans=False)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
