@@ -5,16 +5,19 @@ shingles (XXH64 of UTF-8, seed 42, repeats included; fewer words: the whole sequ
 where over half of the hashes have it. A text without words has fingerprint zero and links like any other.
 
 Links. Two fingerprints link where they differ in at most `most` bits. Equal fingerprints collapse first, so a
-group of copies is one row. The 64 bits are cut into segments; by the pigeonhole principle two linked fingerprints
-differ in at most most // segments bits of one of them. Each fingerprint is a row of that segment's table and
-probes it with the Hamming ball of that radius around its own segment; what shares a key is verified by its
-complete distance. With 3 segments for 4 bits that is 67 probes with 21-bit keys.
+group of copies is one row. The 64 bits are cut into blocks; some of the blocks together are a segment. By the
+pigeonhole principle two linked fingerprints differ in few bits (the radius) of one of the segments. Each fingerprint is
+a row of that segment's table and probes it with the Hamming ball of the radius around its own segment; what shares a
+key is verified by its complete distance. With 3 blocks, each a segment, for 4 bits that is 67 probes with 21-bit keys.
+Keys must not hold more rows as the table grows, so the blocks follow from the measured number of fingerprints
+(`segmentation`): beyond 2**24 two of 5 blocks are a segment (25 bits), beyond 2**28 four of 8 (32 bits, radius 0), and so
+on. Every choice finds every link.
 
 A table key's rows are compared in one task, in numpy blocks. From a large key only links that join what was
 apart are emitted (a spanning forest), so near copies don't give all their pairs. A key with over `hot` table
-rows isn't compared: its fingerprints instead emit every value within half the distance, on both sides of which
-linked fingerprints meet (a ball of 2,081 values for 4 bits), and are tied by an aggregation. That is exact too,
-linear in the group, and no task holds it.
+rows isn't compared: its fingerprints instead emit every value within half the distance (where that is odd, the one
+half as a side of its own and the other as the other), on which linked fingerprints meet (a ball of 2,081 values for 4
+bits), and are tied by an aggregation. That is exact too, linear in the group, and no task holds it.
 
 Wider fingerprints. `words` times 64 bits estimate similarity better: two texts of Jaccard similarity J differ in
 about acos(2J / (1 + J)) / pi of the bits. There the ball that meets every pair within `most` bits may be too
@@ -28,8 +31,10 @@ whatever their fingerprints' distance; components of those links count then. Tex
 fingerprints don't. Every pair of a component is compared unless its two texts are joined already; a component with over
 `HOT_SETS` sets or `HOT_HASHES` hashes is compared in a grid of tasks.
 
-Null text: empty. Null doc_ids take part; a component's id is its smallest doc_id. Repeated rows each give a
-row. Extra columns are ignored; an empty table gives an empty result.
+keep_one numbers the rows and writes them once, so that its steps agree on them.
+
+Null text: empty. A very long text is hashed alone, with a number for each of its shingles. Null doc_ids take part; a
+component's id is its smallest doc_id. Repeated rows each give a row. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,7 +49,7 @@ from pyspark.sql import functions as F
 from markloom.llm.common import Workspace, flow, let_go, masked, sent_if_small, slices, trim, unmasked
 from markloom.llm.components import components
 
-SHINGLE, MOST, SEGMENTS = 4, 4, 3
+SHINGLE, MOST = 4, 4
 #: Table rows of one key that are compared in one task.
 HOT = 16_384
 #: Sets of shingles, and hashes in them, that are compared in one task (twice as many in a cell of a grid).
@@ -143,13 +148,28 @@ def set_fingerprints(rows: DataFrame, shingle: int = SHINGLE, words: int = 1) ->
     return rows.select("doc_id", "text", "rid").mapInArrow(_fingerprints(shingle, words, True), schema)
 
 
-def segment_bounds(segments: int, words: int = 1) -> list[tuple[int, int, int]]:
-    """(word, shift, width) of each segment; as many in each word, widths as even as can be."""
-    each = segments // words
+def block_bounds(blocks: int, words: int = 1) -> list[tuple[int, int, int]]:
+    """(word, shift, width) of each block; as many in each word, widths as even as can be."""
+    each = blocks // words
     cuts = [64 * i // each for i in range(each + 1)]
     return [(j, a, b - a) for j in range(words) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def least_radius(most: int, blocks: int, taken: int) -> int:
+    """Bits in which fingerprints that differ in `most` bits differ at most in some `taken` of the blocks."""
+    each, more = divmod(most, blocks)  # at worst the bits are spread evenly
+    return taken * each + max(0, taken - (blocks - more))
+
+
+#: Ways to cut 64 bits: blocks, and how many of them are a segment.
+CUTS = ((3, 1), (5, 2), (8, 4), (10, 6), (12, 8))
+
+
+def segmentation(rows: int) -> tuple[int, int]:
+    """The first way by which a key has eight table rows or fewer on average."""
+    return next((c for c in CUTS if rows <= 8 << (64 * c[1] // c[0])), CUTS[-1])
+
+
 def ball(width: int, radius: int) -> np.ndarray:
     """All values of so many bits with at most radius bits set; 0 first."""
     return np.array([sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(width), r)], np.uint64)
@@ -164,17 +184,21 @@ def _near(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return np.bitwise_count(one ^ two).sum(axis=0, dtype=np.int32)
 
 
-def _probes(segments: int, radius: int, words: int):
-    balls = [(s, j, k, w, ball(w, radius)) for s, (j, k, w) in enumerate(segment_bounds(segments, words))]
+def _probes(blocks: int, taken: int, radius: int, words: int):
+    bounds = block_bounds(blocks, words)
+    segments = [(s, own, ball(sum(w for _, _, w in own), radius)) for s, own in enumerate(combinations(bounds, taken))]
     names = bit_columns(words)
 
     def run(batches):
         for whole in batches:
             for i in range(0, whole.num_rows, 20_000):
                 fp = _columns(whole.slice(i, 20_000), names)
-                for s, j, shift, width, flips in balls:
-                    own = (fp[j] >> np.uint64(shift)) & np.uint64((1 << width) - 1)
-                    keys = (own[:, None] ^ flips[None, :]).ravel() | (np.uint64(s) << np.uint64(40))
+                for s, parts, flips in segments:
+                    own, at = np.zeros(fp.shape[1], np.uint64), 0
+                    for j, shift, width in parts:
+                        own |= ((fp[j] >> np.uint64(shift)) & np.uint64((1 << width) - 1)) << np.uint64(at)
+                        at += width
+                    keys = (own[:, None] ^ flips[None, :]).ravel() | (np.uint64(s) << np.uint64(50))
                     side = np.tile(np.arange(len(flips)) > 0, fp.shape[1]).astype(np.int8)
                     cols = [keys.view(np.int64), side, *(np.repeat(x, len(flips)).view(np.int64) for x in fp)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "side", *names])
@@ -246,30 +270,33 @@ def _runs(key: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _midpoints(most: int):
+    """Values within half the distance: side 0, and for an odd distance those a bit farther as side 1."""
     flips = ball(64, -(-most // 2))
+    far = np.bitwise_count(flips) > most // 2
 
     def run(batches):
         for whole in batches:
             for i in range(0, whole.num_rows, 200):
                 fp = whole.column("fp").slice(i, 200).to_numpy().view(np.uint64)
-                cols = [(fp[:, None] ^ flips[None, :]).ravel().view(np.int64), np.repeat(fp, len(flips)).view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["mid", "fp"])
+                cols = [(fp[:, None] ^ flips[None, :]).ravel().view(np.int64), np.tile(far, len(fp)).astype(np.int8), np.repeat(fp, len(flips)).view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["mid", "side", "fp"])
 
     return run
 
 
-def _tie(most: int):
-    """Rows sorted by mid: ties each fingerprint to the key's first one, through a verified chain or the shared middle."""
+def _tie():
+    """Rows sorted by mid and side: ties each fingerprint to the key's first one, if that is of side 0: the two then
+    differ in no more bits than both halves have."""
 
     def run(batches):
         last_mid, head = None, None
         for b in batches:
-            mid, fp = b.column("mid").to_numpy(), b.column("fp").to_numpy().view(np.uint64)
+            mid, side, fp = b.column("mid").to_numpy(), b.column("side").to_numpy(), b.column("fp").to_numpy().view(np.uint64)
             us, vs = [], []
-            for m, x in zip(mid.tolist(), fp.tolist(), strict=True):
+            for m, far, x in zip(mid.tolist(), side.tolist(), fp.tolist(), strict=True):
                 if m != last_mid:
-                    last_mid, head = m, x
-                elif x != head:
+                    last_mid, head = m, None if far else x
+                elif head is not None and x != head:
                     us.append(x), vs.append(head)
             cols = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in (us, vs)]
             yield pa.RecordBatch.from_arrays(cols, names=["u", "v"])
@@ -288,14 +315,17 @@ def _grid(rows: DataFrame, heavy: DataFrame, hot: int, bits: list[str]) -> DataF
     return as_any.unionByName(as_table).select(F.xxhash64("key", "r", "a").alias("key"), "side", *bits)
 
 
-def link_edges(distinct: DataFrame, ws: Workspace, most: int = MOST, segments: int = SEGMENTS, hot: int = HOT, words: int = 1, radius: int | None = None) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints `fp` that have the components of all links, not all links."""
+def link_edges(distinct: DataFrame, ws: Workspace, most: int = MOST, segments: int | None = None, hot: int = HOT, words: int = 1, radius: int | None = None, taken: int = 1) -> DataFrame:
+    """Edges (u, v) between distinct fingerprints `fp` that have the components of all links, not all links.
+    segments: blocks, `taken` of which are a segment; by default as many as suit the number of fingerprints."""
     spark, n, bits = distinct.sparkSession, flow(distinct.sparkSession), bit_columns(words)
+    if segments is None:
+        segments, taken = segmentation(distinct.count()) if words == 1 else (4 * words, 1)
     if segments % words:
         raise ValueError("segments must be a multiple of words")
-    radius = most // segments if radius is None else radius
+    radius = least_radius(most, segments, taken) if radius is None else radius
     schema = "key long, side byte" + "".join(f", {c} long" for c in bits)
-    rows = distinct.select(*bits).mapInArrow(_probes(segments, radius, words), schema)
+    rows = distinct.select(*bits).mapInArrow(_probes(segments, taken, radius, words), schema)
     sizes = rows.filter("side = 0").groupBy("key").count()
     heavy = ws.save(sizes.filter(F.col("count") > hot).select("key", F.ceil(F.col("count") / max(hot, 1)).alias("blocks")), "heavy")
     edges = []
@@ -309,24 +339,26 @@ def link_edges(distinct: DataFrame, ws: Workspace, most: int = MOST, segments: i
         # what has a table row or a probe at a heavy key meets in the middle instead
         heavy = heavy.select("key")
         sent = rows.join(heavy, "key", "left_semi").select("fp").distinct()
-        mids = sent.mapInArrow(_midpoints(most), "mid long, fp long").repartition(4 * n, "mid").sortWithinPartitions("mid", "fp")
-        edges.append(mids.mapInArrow(_tie(most), "u long, v long"))
+        mids = sent.mapInArrow(_midpoints(most), "mid long, side byte, fp long").repartition(4 * n, "mid").sortWithinPartitions("mid", "side", "fp")
+        edges.append(mids.mapInArrow(_tie(), "u long, v long"))
         rows = rows.join(heavy, "key", "left_anti")
     dealt = rows.repartition(n, "key").sortWithinPartitions("key", "side")
     edges.append(dealt.mapInArrow(_verify(most, words), "u long, v long"))
     return edges[0].unionByName(edges[1]) if len(edges) > 1 else edges[0]
 
 
-def simhash_components(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST, segments: int = SEGMENTS, hot: int = HOT, words: int = 1, radius: int | None = None) -> DataFrame:
+def simhash_components(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST, segments: int | None = None, hot: int = HOT, words: int = 1, radius: int | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits a word), component_id (smallest doc_id reachable over links)."""
     ws, bits = Workspace(docs.sparkSession, "simhash"), bit_columns(words)
     fps = ws.save(fingerprints(docs, shingle, words), "fps")
     smallest = ws.save(fps.groupBy("fp", *(bits if words > 1 else [])).agg(F.min("doc_id").alias("low")), "distinct")
-    roots = components(link_edges(smallest, ws, most, segments, hot, words, radius), ws)
-    # the smallest doc_id of a component is a minimum over its fingerprints; most fingerprints stand alone
-    linked = smallest.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    low = linked.groupBy("root").agg(F.min("low").alias("component_id"))
-    ids = linked.select("fp", "root").join(low, "root").select("fp", "component_id")
+    roots = ws.save(components(link_edges(smallest, ws, most, segments, hot, words, radius), ws).withColumnRenamed("node", "fp"), "roots")
+    # most fingerprints stand alone; the smallest doc_id of the others' component is a minimum over its fingerprints
+    low = ws.save(smallest.join(sent_if_small(roots), "fp").groupBy("root").agg(F.min("low").alias("least")), "low")
+    linked = ws.save(roots.join(sent_if_small(low), "root").select("fp", F.struct("least").alias("linked")), "linked")
+    ids = smallest.join(sent_if_small(linked), "fp", "left")
+    ids = ws.save(ids.select("fp", F.when(F.col("linked").isNull(), F.col("low")).otherwise(F.col("linked.least")).alias("component_id")), "ids")
+    ws.drop("distinct", "heavy", "roots", "low", "linked")
     digits = F.concat(*[F.lpad(F.lower(F.hex(c)), 16, "0") for c in bits])
     return fps.join(ids, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
 
@@ -402,8 +434,9 @@ def _similar(least: float):
 def similar_edges(rows: DataFrame, fps: DataFrame, roots: DataFrame, ws: Workspace, shingle: int, least: float, hot_sets: int = HOT_SETS) -> DataFrame:
     """Edges (u, v) between sets `s` that have the components of all links within components of fingerprints.
     rows: rid, text; fps: their set_fingerprints; roots: node (fp), root."""
-    each = fps.groupBy("fp", "s").agg(F.min("rid").alias("rid"), F.max("n").alias("n"))
-    each = each.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    # a fingerprint that stands alone may still have several sets
+    each = ws.save(fps.groupBy("fp", "s").agg(F.min("rid").alias("rid"), F.max("n").alias("n")), "each")
+    each = each.join(sent_if_small(roots.withColumnRenamed("node", "fp")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     members = ws.save(each.groupBy("root", "s").agg(F.min("rid").alias("rid"), F.max("n").alias("n")), "members")
     sizes = members.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("n")).filter("m > 1")
     blocks = F.greatest(F.ceil(F.col("m") / hot_sets), F.ceil(F.col("n") / HOT_HASHES))
@@ -423,16 +456,20 @@ def keep_one(docs: DataFrame, least: float | None = None, shingle: int = SHINGLE
     """One row of each component, with all columns: that of the smallest doc_id (nulls last), of several the first in
     place. least: links are verified by the Jaccard similarity of sets of shingles. `how` goes to link_edges."""
     ws, bits = Workspace(docs.sparkSession, "near"), bit_columns(words)
-    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("rid"))
+    rows = ws.numbered(docs)
     fps = ws.save(set_fingerprints(rows, shingle, words), "fps")
     distinct = ws.save(fps.select("fp", *(bits if words > 1 else [])).distinct(), "distinct")
-    roots, node = components(link_edges(distinct, ws, words=words, **how), ws), "fp"
+    roots, node = ws.save(components(link_edges(distinct, ws, words=words, **how), ws), "roots"), "fp"
     if least is not None:
         # a workspace of their own: the first components are still read
         edges = similar_edges(rows, fps, roots, ws, shingle, least, hot_sets)
-        roots, node = components(edges, Workspace(docs.sparkSession, "similar")), "s"
-    first = fps.groupBy(node).agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "rid")).alias("first"))
-    linked = first.join(roots.withColumnRenamed("node", node), node, "left").groupBy(F.coalesce("root", node)).agg(F.min("first").alias("first"))
-    gone = ws.save(fps.select("rid").join(linked.select("first.rid"), "rid", "left_anti"), "gone")
-    own = masked(docs, rid=F.monotonically_increasing_id())
-    return unmasked(own.join(sent_if_small(gone), "rid", "left_anti"), docs.columns)
+        own = Workspace(docs.sparkSession, "similar")
+        roots, node = ws.save(components(edges, own), "similar"), "s"
+    first = ws.save(fps.groupBy(node).agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "rid")).alias("first")), "first")
+    roots = sent_if_small(roots.withColumnRenamed("node", node))
+    # alone, or the first of a component
+    alone = first.join(roots, node, "left_anti").select("first.rid")
+    best = first.join(roots, node).groupBy("root").agg(F.min("first").alias("first")).select("first.rid")
+    gone = ws.save(fps.select("rid").join(alone.unionByName(best), "rid", "left_anti"), "gone")
+    ws.drop("fps", "distinct", "heavy", "each", "members", "sizes", "compared", "first")
+    return unmasked(rows.join(sent_if_small(gone), "rid", "left_anti"), docs.columns)

@@ -58,8 +58,8 @@ def test_edited_copies(spark, tmp_path, hot):
     assert got == want
 
 
-@pytest.mark.parametrize("segments,most,hot", [(3, 4, 10_000), (4, 7, 10_000), (2, 5, 10_000), (3, 4, 1)])
-def test_links_of_random_fingerprints(spark, tmp_path, segments, most, hot):
+@pytest.mark.parametrize("segments,most,hot,taken", [(3, 4, 10_000, 1), (4, 7, 10_000, 1), (2, 5, 10_000, 1), (3, 4, 1, 1), (3, 3, 0, 1), (2, 1, 0, 1), (5, 4, 10_000, 2), (8, 4, 10_000, 4), (10, 4, 0, 6)])
+def test_links_of_random_fingerprints(spark, tmp_path, segments, most, hot, taken):
     r = np.random.default_rng(7)
     base = r.integers(0, 1 << 63, 40, dtype=np.uint64)
     fps = set(base.tolist())
@@ -69,12 +69,24 @@ def test_links_of_random_fingerprints(spark, tmp_path, segments, most, hot):
     fps = np.array(sorted(fps), np.uint64)
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
     ws = Workspace(spark, "test")
-    roots = {x["node"]: x["root"] for x in components(op.link_edges(df, ws, most, segments, hot), ws).collect()}
+    roots = {x["node"]: x["root"] for x in components(op.link_edges(df, ws, most, segments, hot, taken=taken), ws).collect()}
     signed = fps.view(np.int64).tolist()
     want = grouped(signed, lambda i: np.flatnonzero(np.bitwise_count(fps[i] ^ fps) <= most).tolist())
     assert [roots.get(x, x) for x in signed] == want
 
 
+def test_segments_follow_the_count_and_miss_nothing():
+    assert [op.segmentation(n) for n in (0, 1 << 24, 1 << 25, 1 << 30, 1 << 36)] == [(3, 1), (3, 1), (5, 2), (8, 4), (10, 6)]
+    r = np.random.default_rng(2)
+    for blocks, taken in op.CUTS:
+        radius = op.least_radius(4, blocks, taken)
+        bounds = op.block_bounds(blocks)
+        assert sum(sorted((w for _, _, w in bounds), reverse=True)[:taken]) <= 50
+        for _ in range(2000):
+            flips = sum(1 << int(i) for i in r.choice(64, 4, replace=False))
+            assert sum(sorted((flips >> a & (1 << w) - 1).bit_count() for _, a, w in bounds)[:taken]) <= radius
+
+
 @pytest.mark.parametrize("hot", [10_000, 20, 1])
 def test_wide_fingerprints(spark, tmp_path, hot):
     """Two words a fingerprint, against all pairs; radius 1 meets all pairs within 15 bits, and most within 23."""
