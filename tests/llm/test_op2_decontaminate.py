@@ -62,6 +62,33 @@ def test_awkward_rows_chunks_and_shuffled_join(spark, tmp_path, monkeypatch):
     assert not any(x[5] for x in brute([(i, r["text"]) for i, r in blank.items()], bench)) and blank[2]["text"] is None
 
 
+def test_hashes_only_say_where_to_look(spark, monkeypatch):
+    """All windows of a length have one hash: every place is a candidate, and words decide."""
+    r = random.Random(4)
+    text = lambda n: " ".join(r.choice("abcdefg") for _ in range(n))
+    docs, bench = [(i, text(r.randint(0, 30))) for i in range(40)], [(i, text(r.randint(1, 8))) for i in range(6)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(op, "_word_hashes", lambda w: op.F.transform(w, lambda x: op.F.lit(7).cast("long")))
+    assert sorted((tuple(x) for x in op.report(op.find_leaks(df, items(spark, bench), 4)).collect()), key=repr) == brute(docs, bench, 4)
+
+
+def test_documents_keep_their_hits(spark, tmp_path):
+    """The scan is split otherwise between the call and the action."""
+    bench = [(1, prose(5000, 12))]
+    df = spark.createDataFrame([(i % 150, prose(i, 30) + (" " + prose(5000, 12) if i % 4 == 0 else "")) for i in range(300)], "doc_id long, text string")
+    df.repartition(8).write.parquet(str(tmp_path / "many"))
+    key = "spark.sql.files.minPartitionNum"
+    spark.conf.set(key, "8")
+    try:
+        kept = op.drop_contaminated(spark.read.parquet(str(tmp_path / "many")), items(spark, bench))
+        blank = op.blank_spans(spark.read.parquet(str(tmp_path / "many")), items(spark, bench))
+        spark.conf.set(key, "1")
+        assert kept.count() == 225 and blank.count() == 300
+        assert not any(x[5] for f in (kept, blank) for x in brute([tuple(r) for r in f.select("doc_id", "text").collect()], bench))
+    finally:
+        spark.conf.unset(key)
+
+
 def test_empty(spark):
     none = items(spark, [])
     assert op.find_leaks(empty(spark), items(spark, [(1, "a b")])).count() == 0
