@@ -86,22 +86,22 @@ CATALOGUE: tuple[Pattern, ...] = (
 BY_NAME = {p.name: p for p in CATALOGUE}
 
 
-def scan_regex(p: Pattern, cls=c.regex) -> str:
-    """The scan's alternation; group 1 is a whole match. cls turns a set into a class (or what stands for one)."""
+def scan_regex(p: Pattern) -> str:
+    """The scan's alternation; group 1 is a whole match."""
     parts = p.parts()
-    whole = "".join(map(cls, parts))
+    whole = "".join(map(c.regex, parts))
     broken = [
-        "".join(map(cls, parts[:k])) + cls(c.complement(parts[k], p.top))
+        "".join(map(c.regex, parts[:k])) + c.regex(c.complement(parts[k], p.top))
         for k in range(len(parts) - 1, 0, -1)
         if not p.elements[k].optional
     ]
-    return "|".join([f"({whole})", *broken, f"(?:{cls(c.complement(parts[0], p.top))})+"])
+    return "|".join([f"({whole})", *broken, f"{c.regex(c.complement(parts[0], p.top))}+"])
 
 
-def prefix_regex(p: Pattern, cls=c.regex) -> str:
+def prefix_regex(p: Pattern) -> str:
     """A proper prefix of the pattern, whole."""
     parts = p.parts()
-    return r"^(?:" + "|".join("".join(map(cls, parts[:k])) for k in range(1, len(parts))) + r")\z"
+    return r"^(?:" + "|".join("".join(map(c.regex, parts[:k])) for k in range(1, len(parts))) + r")\z"
 
 
 def _view(p: Pattern, value: Column) -> Column:
@@ -126,12 +126,12 @@ def match_result(p: Pattern, value: Column) -> Column:
     """What the matcher says to the last value: TRUE, PENDING or FALSE; null for no value."""
     if _impossible(p):
         return F.when(F.length(value) > 0, "FALSE")
+    if len(p.elements) == 1:  # nothing is pending: the last value decides
+        last = _view(p, F.substring(value, -1, 1))
+        return F.when(F.length(value) > 0, F.when(last.rlike(c.regex(p.parts()[0])), "TRUE").otherwise("FALSE"))
     text = _view(p, value)
     # a pending prefix is left over at the end, where no alternative takes it
-    pending = rf"|{prefix_regex(p).removeprefix('^')}" if len(p.elements) > 1 else ""
-    last = F.element_at(F.regexp_extract_all(text, F.lit(scan_regex(p) + pending), F.lit(0)), -1)
+    pending = prefix_regex(p)
+    last = F.element_at(F.regexp_extract_all(text, F.lit(f"{scan_regex(p)}|{pending.removeprefix('^')}"), F.lit(0)), -1)
     done = last.rlike("^(?:" + "".join(map(c.regex, p.parts())) + r")\z")
-    out = F.when(done, "TRUE")
-    if len(p.elements) > 1:
-        out = out.when(last.rlike(prefix_regex(p)), "PENDING")
-    return F.when(F.length(text) > 0, out.otherwise("FALSE"))
+    return F.when(F.length(text) > 0, F.when(done, "TRUE").when(last.rlike(pending), "PENDING").otherwise("FALSE"))

@@ -6,6 +6,10 @@ the failing tag stand.
 
 A text is split by one alternation into whole tags, text runs and a bare `<`. The first bare `<` is the failing tag,
 or a tag that the end of the document cuts short; what is behind it isn't looked at.
+
+Attributes repeat possessively (`*+`): the engine then loops where it would else go one call deeper for each, so a tag
+may have any number of them. Nothing is lost: an attribute with blanks behind it never has to be given back, since what
+may follow those blanks is spelled out in its own alternative.
 """
 
 from __future__ import annotations
@@ -17,14 +21,16 @@ from markloom.functions import classes as c
 
 W, L, B = c.regex(c.WHITESPACE), c.regex(c.ALPHANUMERIC), c.regex(c.NAME)
 _w, _l, _b = c.body(c.WHITESPACE), c.body(c.ALPHANUMERIC), c.body(c.NAME)
-TAG = rf"<{W}*(?:/{W}*)?{B}+(?:{W}*/?>|{W}+(?:{L}+{W}*={W}*{L}+{W}+)*(?:{L}*/?>|{L}+{W}*={W}*{L}*{W}*/?>))"
+#: An attribute that others, or the end, may follow.
+_A = rf"{L}+{W}*={W}*{L}+{W}+"
+TAG = rf"<{W}*(?:/{W}*)?{B}+(?:{W}*/?>|{W}+(?:{_A})*+(?:{L}*/?>|{L}+{W}*={W}*{L}*{W}*/?>))"
 LEXEME = rf"{TAG}|<|[^<]+"
 HEAD = rf"^<{W}*(?:/{W}*)?{B}+"
 ATTRIBUTE = rf"(?:{L}+){W}*={W}*{L}*|{L}+/?>"
 KINDS = ("OPENTAG", "TAGNAME", "ATTRNAME", "ATTRVALUE", "CLOSETAG", "SELFCLOSETAG", "TEXTCONTENT")
 
 _H = rf"<{W}*(?:/{W}*)?{B}+"
-_P = rf"{_H}{W}+(?:{L}+{W}*={W}*{L}+{W}+)*{L}+"
+_P = rf"{_H}{W}+(?:{_A})*+{L}+"
 #: Code of an error and what leads to the character where it shows, from the bare `<`. At most one fits.
 ERRORS: tuple[tuple[str, str], ...] = (
     ("BAD_TAG_START", rf"^<{W}*[^{_b}{_w}/]"),
@@ -32,8 +38,8 @@ ERRORS: tuple[tuple[str, str], ...] = (
     ("EMPTY_ATTR_NAME", rf"^{_H}{W}*="),
     ("BAD_ATTR_NAME_CHAR", rf"^{_H}(?:{W}+[^{_l}=>/{_w}]|[^{_b}=>/{_w}])|^{_P}[^{_l}=>/{_w}]"),
     ("EXPECTED_EQUALS", rf"^{_P}{W}+[^={_w}]"),
-    ("BAD_SELF_CLOSE", rf"^(?:{_H}{W}*|{_P}|{_P}{W}*={W}*{L}*{W}*)/[^>]"),
-    ("BAD_AFTER_VALUE", rf"^{_P}{W}*={W}*{L}*{W}*[^{_l}>/{_w}]"),
+    ("BAD_SELF_CLOSE", rf"^(?:{_H}{W}*|{_H}{W}+(?:{_A})++|{_P}|{_P}{W}*={W}*{L}*{W}*)/[^>]"),
+    ("BAD_AFTER_VALUE", rf"^(?:{_H}{W}+(?:{_A})++|{_P}{W}*={W}*{L}*{W}*)[^{_l}>/{_w}]"),
 )
 _TOKENS = "array<struct<kind:string,value:string>>"
 
@@ -55,16 +61,18 @@ def _attributes(rest: Column, last_value: bool = True, bare: bool = True) -> Col
     """Tokens of what follows a tag's name. last_value: a value that reaches the end counts; bare: so do names alone."""
     pieces = F.regexp_extract_all(rest, F.lit(ATTRIBUTE), F.lit(0))
 
-    def of(piece: Column, i: Column | None = None) -> Column:
+    def of(piece: Column) -> Column:
         name = F.regexp_extract(piece, rf"^({L}+)", 1)
         named = F.when(piece.rlike(rf"^{L}+="), F.array(_token("ATTRNAME", name))).otherwise(_none())
         value = F.array(_token("ATTRVALUE", F.regexp_extract(piece, rf"={W}*({L}*)\z", 1)))
-        if not last_value:
-            value = F.when((i == F.size(pieces) - 1) & rest.endswith(piece), _none()).otherwise(value)
         alone = F.when(piece.endswith("/>") | ~F.lit(bare), _none()).otherwise(F.array(_token("ATTRNAME", name)))
         return F.when(piece.contains("="), F.concat(named, value)).otherwise(alone)
 
-    return F.flatten(F.transform(pieces, of if not last_value else lambda x: of(x)))
+    found = F.flatten(F.transform(pieces, of))
+    if last_value:
+        return found
+    last = F.try_element_at(pieces, F.lit(-1))
+    return F.when(last.contains("=") & rest.endswith(last), F.slice(found, F.lit(1), F.size(found) - 1)).otherwise(found)
 
 
 def _tag(lexeme: Column) -> Column:

@@ -1,13 +1,10 @@
-"""The queries in SQL. Formulated on its own: joins and ordinals for arrays, pairs of hex digits for bytes."""
+"""The queries in SQL, in words of their own: patterns and sets are written out here once more, joins and ordinals stand for
+arrays, pairs of hex digits for bytes. Nothing of the functions under test is used, only the inputs made for them."""
 
 from __future__ import annotations
 
-from markloom.functions import classes as c
-from markloom.functions import patterns as pt
-from markloom.functions import tokenize as tk
-from markloom.functions.preprocess import DROPPED
 from markloom.plans import fixtures as fx
-from markloom.plans.queries import FAULTS, SEQUENCES
+from markloom.plans.queries import FAULTS
 
 # UTF-8 over pairs of hex digits: every alternative takes whole pairs
 _C, _N, _A = "[89AB].", "[0-7C-F].", ".."
@@ -18,66 +15,134 @@ _INVALID = (
 _CUT_SHORT = rf"^(?:[CD].|E.(?:{_C})?|F[0-7](?:{_C}){{0,2}})\z"
 
 
-def _pairs(s: c.Ranges) -> str:
-    """A set of bytes as pairs of hex digits."""
-    low: dict[str, list[str]] = {}
-    for a, b in s:
-        for x in range(a, b + 1):
-            low.setdefault(f"{x >> 4:X}", []).append(f"{x & 15:X}")
-    by: dict[str, list[str]] = {}
-    for high, own in low.items():
-        by.setdefault("".join(own), []).append(high)
-    return "(?:" + "|".join(f"[{''.join(h)}][{own}]" for own, h in by.items()) + ")"
-
-
 def _q(s: str) -> str:
     return s.replace("'", "''")
 
 
-def _scan(p: pt.Pattern) -> str:
-    return _q(pt.scan_regex(p, _pairs if p.domain == "byte" else c.regex))
-
-
-def _view(p: pt.Pattern, text: str) -> str:
-    return f"hex(encode({text}))" if p.domain == "byte" else text
-
-
-def _count(p: pt.Pattern, view: str) -> str:
-    if pt._impossible(p):
-        return "0"
-    return f"len(list_filter(regexp_extract_all({view}, '{_scan(p)}', 1), lambda x: x <> ''))"
+# The catalogue. Name, elements (values and ranges; ? for an optional one), and each element as a regex
+# over pairs of hex digits (bytes) or characters (code points).
+_WS, _UP, _LOW = "(?:09|0A|0C|0D|20)", "4[1-9A-F]|5[0-9A]", "6[1-9A-F]|7[0-9A]"
+_BYTES: list[tuple[str, str, list[str]]] = [
+    ("UTF16BEBOM", "254 255", ["FE", "FF"]),
+    ("UTF16LEBOM", "255 254", ["FF", "FE"]),
+    ("UTF8BOM", "239 187 191", ["EF", "BB", "BF"]),
+    ("UTF16BEXML", "0 60 0 63 0 120", ["00", "3C", "00", "3F", "00", "78"]),
+    ("UTF16LEXML", "60 0 63 0 120 0", ["3C", "00", "3F", "00", "78", "00"]),
+    ("OPENCOMMENT", "60 33 45 45", ["3C", "21", "2D", "2D"]),
+    ("CLOSECOMMENT", "45 45 62", ["2D", "2D", "3E"]),
+    ("OPENMETA", "60 77,109 69,101 84,116 65,97 9-10,12-13,32,47", ["3C", "[46]D", "[46]5", "[57]4", "[46]1", "(?:09|0A|0C|0D|20|2F)"]),
+    ("THREEC", "60 ?47 65-90,97-122", ["3C", "..", f"(?:{_UP}|{_LOW})"]),
+    ("ESQ", "60 33,47,63", ["3C", "(?:21|2F|3F)"]),
+    ("CLOSETAG", "62", ["3E"]),
+    ("SKIPSEQUENCE", "9-10,12-13,32,62", ["(?:09|0A|0C|0D|20|3E)"]),
+    ("GETATTRSKIP", "9-10,12-13,32,47", ["(?:09|0A|0C|0D|20|2F)"]),
+    ("GETATTREQ", "61", ["3D"]),
+    ("GETATTRIFSPACES", "9-10,12-13,32", [_WS]),
+    ("GETATTRBYTEABORT", "77,109", ["[46]D"]),
+    ("GETATTRMAIUSCLETTERS", "65-90", [f"(?:{_UP})"]),
+    ("GETATTRQUOTE", "34,39", ["2[27]"]),
+    ("XMLOPENTAG", "60 63 120 109 108", ["3C", "3F", "78", "6D", "6C"]),
+    ("XMLENCODING", "101 110 99 111 100 105 110 103", ["65", "6E", "63", "6F", "64", "69", "6E", "67"]),
+    ("XMLG", "103", ["67"]),
+    ("XMLSPACEORCONTROL", "0-32", ["(?:[01][0-9A-F]|20)"]),
+    ("SPACESANDSEMICOLON", "9-10,12-13,32,59", ["(?:09|0A|0C|0D|20|3B)"]),
+]
+_NEVER = "[^\\x{0}-\\x{10ffff}]"  # surrogates are in no string
+_NON = "\\x{fdd0}-\\x{fdef}" + "".join(f"\\x{{{p:x}fffe}}-\\x{{{p:x}ffff}}".replace("{0f", "{f") for p in range(17))
+_POINTS: list[tuple[str, str, list[str]]] = [
+    ("SURROGATES", "55296-57343", [_NEVER]),
+    ("NON_CHARACTER", ",".join(["64976-65007", *(f"{65536 * p + 65534}-{65536 * p + 65535}" for p in range(17))]), [f"[{_NON}]"]),
+    ("CONTROL", "127-159", ["[\\x{7f}-\\x{9f}]"]),
+    ("CRLF", "13 10", ["\\r", "\\n"]),
+    ("CR", "13", ["\\r"]),
+    ("WHITESPACES", "9-10,12-13,32", ["[\\t\\n\\f\\r ]"]),
+]
+_OPTIONAL = {"THREEC": 1}
+_ALL = [(*p, "byte") for p in _BYTES] + [(*p, "codepoint") for p in _POINTS]
+_PATTERN = {name: (parts, domain) for name, _, parts, domain in _ALL}
+
+
+def _scan(name: str, pending: bool = False) -> str:
+    """A whole match (group 1); where asked for, what the end leaves unfinished; a prefix and the value that breaks it; any value."""
+    parts, domain = _PATTERN[name]
+    any_one = ".." if domain == "byte" else "."
+    unfinished = ["".join(parts[:k]) + "\\z" for k in range(len(parts) - 1, 0, -1)] if pending else []
+    broken = ["".join(parts[:k]) + any_one for k in range(len(parts) - 1, 0, -1) if _OPTIONAL.get(name) != k]
+    return _q("(?s)" + "|".join([f"({''.join(parts)})", *unfinished, *broken, any_one]))
+
+
+def _view(name: str) -> str:
+    return "h" if _PATTERN[name][1] == "byte" else "t"
+
+
+def _count(name: str, view: str) -> str:
+    return f"len(list_filter(regexp_extract_all({view}, '{_scan(name)}', 1), lambda x: x <> ''))"
 
 
 def _counts(key: str, source: str, text: str) -> str:
-    parts = [f"SELECT {key}, '{p.name}' AS name, {_count(p, 'h' if p.domain == 'byte' else 't')}::BIGINT AS n FROM d" for p in pt.CATALOGUE]
+    parts = [f"SELECT {key}, '{name}' AS name, {_count(name, _view(name))}::BIGINT AS n FROM d" for name in _PATTERN]
     return f"WITH d AS (SELECT {key}, {text} AS t, hex(encode({text})) AS h FROM {source})\nSELECT * FROM ({' UNION ALL '.join(parts)}) WHERE n > 0"
 
 
-def _result(p: pt.Pattern, view: str) -> str:
-    if pt._impossible(p):
-        return f"CASE WHEN length({view}) > 0 THEN 'FALSE' END"
-    cls = _pairs if p.domain == "byte" else c.regex
-    whole = "".join(map(cls, p.parts()))
-    pending = pt.prefix_regex(p, cls) if len(p.elements) > 1 else None
-    scan = pt.scan_regex(p, cls) + (f"|{pending.removeprefix('^')}" if pending else "")
-    last = f"regexp_extract_all({view}, '{_q(scan)}', 0)[-1]"
-    more = f"WHEN regexp_matches({last}, '{_q(pending)}') THEN 'PENDING' " if pending else ""
-    return rf"CASE WHEN length({view}) = 0 THEN NULL WHEN regexp_matches({last}, '^(?:{_q(whole)})\z') THEN 'TRUE' {more}ELSE 'FALSE' END"
+def _result(name: str, view: str) -> str:
+    parts, _ = _PATTERN[name]
+    last = f"regexp_extract_all({view}, '{_scan(name, True)}', 0)[-1]"
+    begun = "|".join("".join(parts[:k]) for k in range(1, len(parts)))
+    more = f"WHEN regexp_matches({last}, '^(?:{_q(begun)})\\z') THEN 'PENDING' " if begun else ""
+    return f"CASE WHEN length({view}) = 0 THEN NULL WHEN regexp_matches({last}, '^(?:{_q(''.join(parts))})\\z') THEN 'TRUE' {more}ELSE 'FALSE' END"
 
 
 def _results(key: str, source: str, text: str) -> str:
-    parts = [f"SELECT {key}, '{p.name}' AS name, {_result(p, 'h' if p.domain == 'byte' else 't')} AS result FROM d" for p in pt.CATALOGUE]
+    parts = [f"SELECT {key}, '{name}' AS name, {_result(name, _view(name))} AS result FROM d" for name in _PATTERN]
     return f"WITH d AS (SELECT {key}, {text} AS t, hex(encode({text})) AS h FROM {source})\n{' UNION ALL '.join(parts)}"
 
 
-def _seq_result() -> str:
-    rows = []
-    for i, (name, h) in enumerate(SEQUENCES):
-        rows.append(f"SELECT {i}::BIGINT AS id, '{name}' AS name, {_result(pt.BY_NAME[name], f"'{h}'")} AS result")
-    return " UNION ALL ".join(rows)
-
-
-_LEXEME, _TAGHEAD = _q(tk.LEXEME), _q(tk.HEAD)
+def _table(columns: str, rows: list[tuple]) -> str:
+    """Rows by number, as literals."""
+    shown = ", ".join(f"({i}::BIGINT, {', '.join(f"'{x}'" if isinstance(x, str) else f'{x}::BIGINT' for x in r)})" for i, r in enumerate(rows))
+    return f"SELECT * FROM (VALUES {shown}) AS v({columns})"
+
+
+# What the matcher says to whole sequences.
+_SAID = [
+    ("UTF16BEBOM", "FEFF", "TRUE"),
+    ("OPENMETA", "3C4D6554612F", "TRUE"),
+    ("UTF16BEBOM", "FEFEFF", "FALSE"),
+    ("UTF16BEBOM", "FE", "PENDING"),
+    ("THREEC", "3C2F61", "TRUE"),
+    ("THREEC", "3C7861", "TRUE"),
+    ("THREEC", "3C613E", "FALSE"),
+    ("UTF8BOM", "EFBBBF", "TRUE"),
+    ("OPENCOMMENT", "3C212D2D", "TRUE"),
+    ("XMLENCODING", "656E636F64696E67", "TRUE"),
+]
+# Vectors of the decoder: input, output, byte at which the first error shows (0: none).
+_DECODED_VECTORS = [
+    *((h, h, 0) for h in ("00", "7F", "C280", "DFBF", "E0A080", "EFBFBF", "F0908080", "F48FBFBF")),
+    ("C080", "", 2), ("C1BF", "", 2), ("E08080", "", 3), ("F0808080", "", 4), ("C220", "", 2), ("E228A1", "", 2), ("F0288CBC", "", 2),
+    ("C2", "", 0), ("E282", "", 0), ("F09080", "", 0), ("F5", "", 0), ("F6", "", 0), ("F7", "", 0),
+    *((h, "", 1) for h in ("F8", "F9", "FA", "FB", "FC", "FD", "FE", "FF")),
+    ("C241", "", 2), ("E228A141", "41", 2), ("F528414243", "414243", 2), ("F490808041", "41", 4), ("F7BFBFBF41", "41", 4),
+    ("EDA08041", "41", 3), ("F480808041", "F480808041", 0),
+]
+
+# The dialect: white space, letters and digits, and what names hold. An attribute that another may follow; a tag's head;
+# what leads to a further attribute's name.
+_W, _L, _B = r"[\t\n\f\r ]", "[0-9A-Za-z]", "[!0-9A-Za-z]"
+_ATTR = rf"{_L}+{_W}*={_W}*{_L}+{_W}+"
+_HEAD = rf"<{_W}*(?:/{_W}*)?{_B}+"
+_NAMED = rf"{_HEAD}{_W}+(?:{_ATTR})*{_L}+"
+_ENDS = rf"{_W}*/?>|{_W}+(?:{_ATTR})*(?:{_L}*/?>|{_L}+{_W}*={_W}*{_L}*{_W}*/?>)"
+_FAILS = [
+    ("BAD_TAG_START", rf"^<{_W}*[^!0-9A-Za-z\t\n\f\r /]"),
+    ("EMPTY_TAG_NAME", rf"^<{_W}*/{_W}*[^!0-9A-Za-z\t\n\f\r ]"),
+    ("EMPTY_ATTR_NAME", rf"^{_HEAD}{_W}*="),
+    ("BAD_ATTR_NAME_CHAR", rf"^{_HEAD}(?:{_W}+[^0-9A-Za-z=>/\t\n\f\r ]|[^!0-9A-Za-z=>/\t\n\f\r ])|^{_NAMED}[^0-9A-Za-z=>/\t\n\f\r ]"),
+    ("EXPECTED_EQUALS", rf"^{_NAMED}{_W}+[^=\t\n\f\r ]"),
+    ("BAD_SELF_CLOSE", rf"^(?:{_HEAD}{_W}*|{_NAMED}|{_NAMED}{_W}*={_W}*{_L}*{_W}*)/[^>]"),
+    ("BAD_AFTER_VALUE", rf"^{_NAMED}{_W}*={_W}*{_L}*{_W}*[^0-9A-Za-z>/\t\n\f\r ]"),
+]
+_LEXEME, _TAGHEAD = f"{_HEAD}(?:{_ENDS})|<|[^<]+", f"^{_HEAD}"
 
 
 def _lexed(key: str, source: str, text: str) -> str:
@@ -89,7 +154,7 @@ def _lexed(key: str, source: str, text: str) -> str:
 
 
 def _errors() -> str:
-    whens = " ".join(f"WHEN regexp_matches(r, '{_q(p)}') THEN struct_pack(code := '{code}', size := length(regexp_extract(r, '{_q(p)}', 0)))" for code, p in tk.ERRORS)
+    whens = " ".join(f"WHEN regexp_matches(r, '{_q(p)}') THEN struct_pack(code := '{code}', size := length(regexp_extract(r, '{_q(p)}', 0)))" for code, p in _FAILS)
     return f"CASE {whens} END"
 
 
@@ -101,7 +166,7 @@ _WITH_REST = (
 
 
 def _tokens(key: str, source: str, text: str) -> str:
-    w, l_, b = tk.W, tk.L, tk.B
+    w, l_, b = _W, _L, _B
     name = rf"regexp_extract(x, '^<{w}*/?{w}*({b}+)', 1)"
     piece = rf"(?:{l_}+){w}*={w}*{l_}*|{l_}+/?>"
     return f"""
@@ -114,7 +179,7 @@ pieces AS (
     (SELECT k, i, x, regexp_extract_all(regexp_replace(x, '{_TAGHEAD}', ''), '{piece}', 0) AS ps FROM u WHERE x LIKE '<%'))
   UNION ALL
   SELECT k, 1000000000, j, x, ps[j], true, j = len(ps) AND ends_with(x, ps[j]) FROM (SELECT k, x, ps, unnest(range(1, len(ps) + 1)) AS j FROM
-    (SELECT k, x, regexp_extract_all(regexp_replace(x, '{_TAGHEAD}', ''), '{piece}', 0) AS ps FROM cut WHERE regexp_matches(x, '^{tk._H}[^{tk._b}]')))
+    (SELECT k, x, regexp_extract_all(regexp_replace(x, '{_TAGHEAD}', ''), '{piece}', 0) AS ps FROM cut WHERE regexp_matches(x, '^{_HEAD}[^!0-9A-Za-z]')))
 ),
 t AS (
   SELECT k, i, 0 AS j, 0 AS m, CASE WHEN regexp_matches(x, '^<{w}*/') THEN 'CLOSETAG' ELSE 'OPENTAG' END AS kind, NULL AS value FROM u WHERE x LIKE '<%'
@@ -124,7 +189,7 @@ t AS (
   UNION ALL SELECT k, i, j, 0, 'ATTRNAME', regexp_extract(p, '^({l_}+)', 1) FROM pieces WHERE regexp_matches(p, '^{l_}+=') OR (p NOT LIKE '%=%' AND p NOT LIKE '%/>' AND NOT partial)
   UNION ALL SELECT k, i, j, 1, 'ATTRVALUE', regexp_extract(p, '={w}*({l_}*)\\z', 1) FROM pieces WHERE p LIKE '%=%' AND NOT ends
   UNION ALL SELECT k, 1000000000, 0, 0, CASE WHEN regexp_matches(x, '^<{w}*/') THEN 'CLOSETAG' ELSE 'OPENTAG' END, NULL FROM cut WHERE regexp_matches(x, '^<{w}*(?:/|{b})')
-  UNION ALL SELECT k, 1000000000, 0, 1, 'TAGNAME', {name} FROM cut WHERE regexp_matches(x, '^{tk._H}[^{tk._b}]')
+  UNION ALL SELECT k, 1000000000, 0, 1, 'TAGNAME', {name} FROM cut WHERE regexp_matches(x, '^{_HEAD}[^!0-9A-Za-z]')
 )
 SELECT k AS {key}, (row_number() OVER (PARTITION BY k ORDER BY i, j, m) - 1)::INT AS pos, kind, value FROM t
 """.replace("\\\\z", "\\z")
@@ -133,7 +198,7 @@ SELECT k AS {key}, (row_number() OVER (PARTITION BY k ORDER BY i, j, m) - 1)::IN
 _PAGES_TOKENS = _tokens("page_id", "pages", fx.SQL_VALUED)
 _DECODED = rf"regexp_replace({fx.SQL_CORRUPTED_HEX}, '({_VALID})|{_INVALID}', '\1', 'g')"
 _NEWLINES = r"regexp_replace(regexp_replace({}, '\r[\r\n]', chr(10), 'g'), '\r', '', 'g')"
-_SANITIZED = f"regexp_replace({fx.SQL_INJECTED}, '{DROPPED}', '', 'g')"
+_SANITIZED = f"regexp_replace({fx.SQL_INJECTED}, '[\\x{{7f}}-\\x{{9f}}{_NON}]', '', 'g')"
 _FAULT = "list_value(" + ", ".join(f"'{_q(f)}'" for f in FAULTS) + f")[(page_id % {len(FAULTS)}) + 1]"
 
 
@@ -150,7 +215,10 @@ def _accept_sql() -> str:
 
 
 ORACLE: dict[str, str] = {
-    "src_values": " UNION ALL ".join(f"SELECT {i}::BIGINT AS doc_id, '{h}' AS hex, {len(h) // 2}::BIGINT AS n" for i, (_, h) in enumerate(SEQUENCES)),
+    # this table is the same at every scale
+    "src_binary": "SELECT parse_filename(filename) AS name, size::BIGINT AS length, sha256(content) AS sha256 FROM read_blob('/root/testdata/sf0.01/nation.parquet')",
+    "src_values": f"SELECT doc_id, hex, length(hex) // 2 AS n FROM ({_table('doc_id, name, hex, result', _SAID)})",
+    "utf8_vectors": _table("doc_id, hex, decoded, error_pos", _DECODED_VECTORS),
     "utf8_decode": f"SELECT doc_id, decode(unhex({_DECODED})) AS text FROM documents",
     "utf8_valid": f"""SELECT doc_id, regexp_matches(h, '^(?:{_VALID})*\\z') AS valid FROM
         (SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN {fx.SQL_CORRUPTED_HEX} ELSE hex(encode(text)) END AS h FROM documents)""",
@@ -164,13 +232,14 @@ ORACLE: dict[str, str] = {
     "pre_error_count": f"SELECT doc_id, (length({fx.SQL_INJECTED}) - length({_SANITIZED}))::BIGINT AS sanitized_count FROM documents",
     "seq_match": _counts("doc_id", "documents", fx.SQL_INJECTED),
     "seq_match_pages": _counts("page_id", "pages", "html"),
-    "seq_result": _seq_result(),
+    "seq_result": f"SELECT id, name, result FROM ({_table('id, name, hex, result', _SAID)})",
     "seq_result_pages": _results("page_id", "pages", fx.SQL_CUT),
-    "seq_open_meta": f"SELECT doc_id, {_count(pt.BY_NAME['OPENMETA'], "hex(encode('<meta ' || text))")}::BIGINT AS n FROM documents",
-    "seq_utf16be_bom": f"SELECT doc_id, {_count(pt.BY_NAME['UTF16BEBOM'], "('FEFF' || hex(encode(text)))")}::BIGINT AS n FROM documents",
-    "seq_catalogue": " UNION ALL ".join(f"SELECT '{p.name}' AS name, '{p.domain}' AS domain, {len(p.elements)}::BIGINT AS n" for p in pt.CATALOGUE),
+    "seq_open_meta": f"SELECT doc_id, {_count('OPENMETA', "hex(encode('<meta ' || text))")}::BIGINT AS n FROM documents",
+    "seq_utf16be_bom": f"SELECT doc_id, {_count('UTF16BEBOM', "('FEFF' || hex(encode(text)))")}::BIGINT AS n FROM documents",
+    "seq_catalogue": f"SELECT name, domain, len(string_split(elements, ' '))::BIGINT AS n, elements FROM ({_table('i, name, elements, domain', [(n, e, d) for n, e, _, d in _ALL])})",
     "tok_lexemes": f"SELECT page_id, (i - 1)::INT AS pos, lx[i] AS lexeme FROM (SELECT page_id, lx, unnest(range(1, len(lx) + 1)) AS i FROM (SELECT page_id, regexp_extract_all({fx.SQL_STRICT}, '{_LEXEME}', 0) AS lx FROM pages))",
     "tok_tokens": _PAGES_TOKENS,
+    "sink_tokens": _PAGES_TOKENS,
     "tok_tokens_cut": _tokens("page_id", "pages", fx.SQL_CUT),
     "tok_accept": _accept_sql(),
     "tok_error": _error_sql("html"),

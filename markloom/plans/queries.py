@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from markloom import operators as op
 from markloom.functions import decode, patterns, preprocess, tokenize
 from markloom.plans import fixtures as fx
-from markloom.sources import binary_files, values
+from markloom.sources import binary_files, shared_dir, values, write_tokens
 
 #: Byte sequences with what the matcher and the decoder say to them.
 SEQUENCES = [
@@ -26,6 +27,13 @@ SEQUENCES = [
     ("XMLENCODING", "656E636F64696E67"),
 ]
 
+#: Byte sequences of the decoder's tests; the last seven go on behind their error.
+VECTORS = [
+    "00", "7F", "C280", "DFBF", "E0A080", "EFBFBF", "F0908080", "F48FBFBF", "C080", "C1BF", "E08080", "F0808080", "C220", "E228A1", "F0288CBC",
+    "C2", "E282", "F09080", "F5", "F6", "F7", "F8", "F9", "FA", "FB", "FC", "FD", "FE", "FF",
+    "C241", "E228A141", "F528414243", "F490808041", "F7BFBFBF41", "EDA08041", "F480808041",
+]
+
 
 def src_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = binary_files(spark, f"{sf_dir}/nation.parquet")
@@ -58,6 +66,13 @@ def utf8_error_pos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _corrupted(spark, sf_dir).select("doc_id", decode.utf8_error_pos(F.col("content")).cast("long").alias("error_pos"))
 
 
+def utf8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the decoder makes of each vector, and where it sees the first error."""
+    df = values(spark, [(i, bytes.fromhex(h)) for i, h in enumerate(VECTORS)])
+    text, at = decode.utf8_decode(F.col("content")), decode.utf8_error_pos(F.col("content"))
+    return df.select("doc_id", F.hex("content").alias("hex"), F.hex(F.encode(text, "UTF-8")).alias("decoded"), at.cast("long").alias("error_pos"))
+
+
 def _injected(spark: SparkSession, sf_dir: str, name: str, f: Callable[[Column], Column]) -> DataFrame:
     df = fx.documents(spark, sf_dir).select("doc_id", fx.injected(F.col("text")).alias("text"))
     return df.select("doc_id", f(F.col("text")).alias(name))
@@ -120,7 +135,9 @@ def seq_utf16be_bom(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def seq_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = op.catalogue(spark)
-    return df.select("name", "domain", F.size("elements").cast("long").alias("n"))
+    one = lambda r: F.when(r[0] == r[1], r[0].cast("string")).otherwise(F.concat(r[0], F.lit("-"), r[1]))
+    element = lambda e: F.concat(F.when(e["policy"] == "OPTIONAL", "?").otherwise(""), F.array_join(F.transform(e["ranges"], one), ","))
+    return df.select("name", "domain", F.size("elements").cast("long").alias("n"), F.array_join(F.transform("elements", element), " ").alias("elements"))
 
 
 def tok_lexemes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,6 +153,13 @@ def tok_tokens_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.token_rows(fx.pages(spark, sf_dir), "page_id", fx.cut(F.col("html")))
 
 
+def sink_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens written to the shared folder and read back."""
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    write_tokens(tok_tokens(spark, sf_dir), path)
+    return spark.read.parquet(path)
+
+
 def _kind(kind: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: op.of_kind(tok_tokens(spark, sf_dir), kind).drop("kind")
 
@@ -177,7 +201,7 @@ def tok_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        src_binary, src_values, utf8_decode, utf8_valid, utf8_error_pos, pre_sanitize, pre_newline, pre_full, pre_error_count,
+        src_binary, src_values, sink_tokens, utf8_vectors, utf8_decode, utf8_valid, utf8_error_pos, pre_sanitize, pre_newline, pre_full, pre_error_count,
         seq_match, seq_match_pages, seq_result, seq_result_pages, seq_open_meta, seq_utf16be_bom, seq_catalogue,
         tok_lexemes, tok_tokens, tok_tokens_cut, tok_accept, tok_error, tok_error_classes, tok_histogram, tok_pipeline,
     )

@@ -172,3 +172,17 @@ def test_null_empty_long(spark):
     df = spark.createDataFrame([(0, None), (1, ""), (2, long)], "i int, t string")
     rows = {r["i"]: r["n"] for r in op.token_rows(df, "i", F.col("t")).groupBy("i").agg(F.count("*").alias("n")).collect()}
     assert rows == {2: 5 + 5000 * 7}
+
+
+def test_any_number_of_attributes(spark):
+    """Whole, cut short by the end, and with each kind of error behind them."""
+    many = "<a " + "b=c " * 100_000
+    ends = {">": 2 + 2 * 100_000, "d/>": 3 + 2 * 100_000, "d=e>x": 4 + 2 * 100_000, "": 2 + 2 * 100_000}
+    wrong = {'"': "BAD_AFTER_VALUE", "/x": "BAD_SELF_CLOSE", "d e": "EXPECTED_EQUALS", "d-": "BAD_ATTR_NAME_CHAR", "d=e/f": "BAD_SELF_CLOSE"}
+    df = spark.createDataFrame([(k, many + end) for k, end in enumerate([*ends, *wrong])], "i int, t string")
+    rows = {r["i"]: r["n"] for r in op.token_rows(df, "i", F.col("t")).groupBy("i").agg(F.count("*").alias("n")).collect()}
+    errors = {r["i"]: (r["error"], r["offset"]) for r in op.token_errors(df, "i", F.col("t")).collect()}
+    for k, (end, n) in enumerate(ends.items()):
+        assert rows[k] == n and k not in errors, end
+    for k, (end, code) in enumerate(wrong.items(), len(ends)):
+        assert errors[k] == (code, len(many) + len(end) - 1), end
