@@ -5,8 +5,10 @@ blank, trimmed. Digest: two 64-bit xxhashes of it with different seeds, as 32 he
 by the digest and compares the bytes inside equal buckets by keeping the canonical text in the grouping key, so
 two texts of equal digests but different bytes never share a group.
 
-Null text: empty. `with_next` orders by (doc_id, text); a null doc_id comes first. Repeated rows stay. An empty
-table gives an empty result; extra columns are ignored.
+Null text: empty. `with_next` orders by doc_id (null comes first), then by the text's hash, then by the text, so rows of
+one id have a defined order too; equal rows follow each other in any order, which shows nowhere. Repeated rows stay. A
+very long text is a value of its own row throughout, held by one task at a time. An empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -60,35 +62,48 @@ def _told_apart(canon: Column) -> Column:
     return F.sha2(F.encode(canon, "UTF-8"), 256)
 
 
+def _order(text: Column) -> Column:
+    """A number from 0 to 2**63 - 1 by hash, after which texts of one id are ordered."""
+    return F.shiftrightunsigned(F.xxhash64(text), 1)
+
+
 def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """doc_id, text and next_text: the text of the next document by doc_id; after the last comes the first.
 
-    Ids are cut into ranges at their quantiles; a window runs in each range. The first document of a range is
-    also sent, as a ghost, to the end of the range before: so texts are shuffled once, and no task sees all.
+    Ids are cut into ranges at their quantiles; a window runs in each range. An id (or null) that holds several ranges'
+    worth of rows is cut further, by the hash of the text. The first document of a range is also sent, as a ghost, to
+    the end of the range before: so texts are shuffled once, and no task sees all.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     buckets = buckets or flow(spark, 8)
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 10 * buckets) if buckets > 1 else F.array()).first()[0]
-    cuts = sorted({c for c in cuts or [] if c is not None})
+    quantiles = F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 10 * buckets) if buckets > 1 else F.array().cast("array<bigint>")
+    seen = docs.agg(quantiles.alias("cuts"), F.count("*").alias("n"), F.count("doc_id").alias("ids")).first()
+    cuts = sorted(c for c in seen["cuts"] or [] if c is not None)
+    null_ranges = max(1, -(-(seen["n"] - seen["ids"]) * buckets // max(seen["n"], 1)))
     cut_array = F.array(*[F.lit(c).cast("long") for c in cuts])
-    # the number of cuts at or below doc_id, by halving a sorted literal
-    bucket = F.when(F.col("doc_id").isNull(), -1).otherwise(_count_below(cut_array, len(cuts), F.col("doc_id")))
-    placed = docs.withColumn("bucket", bucket)
+    order = _order(F.col("text"))
+    part = lambda n: F.least(F.floor(order / F.lit(2.0**63) * n).cast("int"), n - 1)
+    # the number of cuts at or below doc_id, and below it, by halving a sorted literal
+    up_to, below = (_count_below(cut_array, len(cuts), x) for x in (F.col("doc_id"), F.col("doc_id") - 1))
+    placed = docs.withColumn("up_to", up_to).withColumn("own", F.col("up_to") - below)
+    bucket = F.when(F.col("own") > 1, F.col("up_to") - F.col("own") + 1 + part(F.col("own"))).otherwise(F.col("up_to"))
+    placed = placed.withColumn("bucket", F.when(F.col("doc_id").isNull(), part(F.lit(null_ranges)) - null_ranges).otherwise(bucket))
+    placed = placed.select("doc_id", "text", "bucket")
     # a row per range, as many as there are cuts: a fixed number, whatever the size of the input
-    first = placed.groupBy("bucket").agg(F.min(F.struct("doc_id", F.xxhash64("text").alias("h"))).alias("f"))
-    starts = {r["bucket"]: (r["f"]["doc_id"], r["f"]["h"]) for r in first.collect()}
-    order = sorted(starts)
-    ghosts = [(b, order[i - 1], starts[b][0], starts[b][1]) for i, b in enumerate(order)]
-    schema = "bucket int, before int, f_id long, f_h long"
-    firsts = F.broadcast(spark.createDataFrame(ghosts, schema))
-    h = F.xxhash64("text")
-    sent = placed.join(firsts, "bucket", "left").withColumn("is_first", F.col("f_id").eqNullSafe(F.col("doc_id")) & (F.col("f_h") == h))
+    first = placed.groupBy("bucket").agg(F.min(F.struct("doc_id", order.alias("o"), "text")).alias("f"))
+    first = first.select("bucket", "f.doc_id", F.sha2(F.encode("f.text", "UTF-8"), 256).alias("h"))
+    starts = {r["bucket"]: (r["doc_id"], r["h"]) for r in first.collect()}
+    order_of = sorted(starts)
+    ghosts = [(b, order_of[i - 1], *starts[b]) for i, b in enumerate(order_of)]
+    firsts = F.broadcast(spark.createDataFrame(ghosts, "bucket int, before int, f_id long, f_h string"))
+    is_first = F.when(F.col("f_id").eqNullSafe(F.col("doc_id")), F.col("f_h") == F.sha2(F.encode("text", "UTF-8"), 256)).otherwise(F.lit(False))
+    sent = placed.join(firsts, "bucket", "left").withColumn("is_first", is_first)
     own = F.struct(F.col("bucket").alias("at"), F.lit(0).alias("ghost"))
     ghost = F.struct(F.col("before").alias("at"), F.lit(1).alias("ghost"))
     sent = sent.withColumn("to", F.explode(F.when(F.col("is_first"), F.array(own, ghost)).otherwise(F.array(own))))
     sent = sent.select("doc_id", "text", F.col("to.at").alias("at"), F.col("to.ghost").alias("ghost"))
-    w = Window.partitionBy("at").orderBy("ghost", F.asc_nulls_first("doc_id"), F.xxhash64("text"))
+    w = Window.partitionBy("at").orderBy("ghost", F.asc_nulls_first("doc_id"), order, "text")
     led = sent.withColumn("next_text", F.lead("text").over(w)).filter("ghost = 0")
     return led.select("doc_id", "text", "next_text")
 

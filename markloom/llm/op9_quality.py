@@ -16,7 +16,8 @@ where that is at least even. A site's rate leaves out nothing, the document itse
 
 Good means quality 1 and not toxic (`GOOD`); unlabelled or null-quality rows teach nothing, of several labels of a
 document the worst counts. Where only one kind of label is there, the evidence is its rate. Null text: empty. A
-null host or path is a site of its own. Repeated rows each give a row. Extra columns are ignored (keep_good keeps
+null host or path is a site of its own. A score of exactly one half is kept; a null id has no label and a score like any
+other. A very long text is read alone, its words as numbers. Repeated rows each give a row. Extra columns are ignored (keep_good keeps
 them); an empty table gives an empty result.
 """
 

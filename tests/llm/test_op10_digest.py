@@ -55,6 +55,23 @@ def test_edited_texts(spark, tmp_path):
         assert nxt[i]["near_next"] == float(same) and (nxt[i]["near_edited"] == 1.0) == (nxt[i]["fingerprint"] == nxt[i]["edited_fingerprint"])
 
 
+def test_hot_ids_are_cut_and_ordered(spark, tmp_path):
+    """Most rows have one id or none: their ranges are cut by the texts' hashes, and each row has its successor."""
+    r = random.Random(2)
+    texts = [f"text {i}" for i in range(400)]
+    rows = [(None, t) for t in texts[:100]] + [(7, t) for t in texts[100:300]] + [(i, t) for i, t in enumerate(texts[300:])] + [(7, texts[120])] * 3
+    r.shuffle(rows)
+    df = stored(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), tmp_path)
+    place = {x["text"]: x["o"] for x in df.select("text", op._order(F.col("text")).alias("o")).collect()}
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, place[x[1]], x[1]))
+    want = sorted(((i, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order)), key=repr)
+    for buckets in (1, 5, 24):
+        got = op.with_next(df, buckets)
+        assert sorted((tuple(x) for x in got.collect()), key=repr) == want
+    plan = op.with_next(df, 24)
+    assert plan.count() == len(rows)
+
+
 def test_awkward(spark, tmp_path):
     df = stored(spark, awkward(spark), tmp_path)
     got = op.edited_fingerprints(df).collect()

@@ -1,5 +1,7 @@
+import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from markloom.llm import op9_quality as op
@@ -48,6 +50,51 @@ def test_shrinkage(spark):
     assert all(abs(r["path_rate"] - 0.5) < 0.01 for r in op.site_rates(same).collect())
 
 
+def plainly(rows, base):
+    """Rates and posteriors by loops: (id, host, path, evidence) to (path rate, score)."""
+
+    def of(group):
+        n, s = len(group), sum(group)
+        return n, s, s / n, max(sum(x * x for x in group) - s * s / n, 0.0)
+
+    def strength(sites):  # (n, rate, within, prior mean) of each
+        n, k = sum(x[0] for x in sites), len(sites)
+        if k < 2 or n <= k:
+            return 1000.0
+        between, within = sum(a * (r - p) ** 2 for a, r, _, p in sites), sum(x[2] for x in sites)
+        spread = max((between - k * within / (n - k)) / n, 1e-9)
+        most = sum(a * p * (1 - p) for a, _, _, p in sites) / n
+        return min(max(most / spread - 1, 2.0), 10_000.0)
+
+    mean = sum(r[3] for r in rows) / len(rows)
+    hosts, paths = {}, {}
+    for _, h, p, e in rows:
+        hosts.setdefault(h, []).append(e)
+        paths.setdefault((h, p), []).append(e)
+    a = strength([(n, r, w, mean) for n, _, r, w in map(of, hosts.values())])
+    host_rate = {h: (a * mean + sum(x)) / (a + len(x)) for h, x in hosts.items()}
+    b = strength([(n, r, w, host_rate[h]) for (h, _), (n, _, r, w) in zip(paths, map(of, paths.values()), strict=True)])
+    path_rate = {k: (b * host_rate[k[0]] + sum(x)) / (b + len(x)) for k, x in paths.items()}
+    odds = lambda x: math.log(min(max(x, 1e-6), 1 - 1e-6) / (1 - min(max(x, 1e-6), 1 - 1e-6)))
+    return {i: (path_rate[h, p], 1 / (1 + math.exp(-(odds(e) + odds(path_rate[h, p]) - odds(base))))) for i, h, p, e in rows}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_posterior_against_loops(spark, seed):
+    r = random.Random(seed)
+    hosts = [None, "a", "b", "c"]
+    rows = [(i, h := r.choice(hosts), r.choice([None, f"{h}/1", f"{h}/2", "shared"]), min(1.0, max(0.0, r.gauss(0.2 + 0.2 * hosts.index(h), 0.2)))) for i in range(300)]
+    rows += [(1000, "alone", "alone/x", 0.01), (1001, "a", "once", 1.0)]
+    ws = Workspace(spark, "test")
+    scored = ws.save(spark.createDataFrame(rows, "doc_id long, host string, path string, evidence double"), "scored")
+    want = plainly(rows, 0.6)
+    got = op.posterior(scored, 0.6, ws).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        rate, score = want[x["doc_id"]]
+        assert x["path_rate"] == pytest.approx(rate) and x["score"] == pytest.approx(score) and x["keep"] == (x["score"] >= 0.5)
+
+
 def test_posterior_moves_by_the_site(spark):
     rows = [(i, "bad", "bad/x", 0.05) for i in range(500)] + [(i, "good", "good/x", 0.95) for i in range(500, 1000)]
     rows += [(2000, "bad", "bad/x", 0.5), (2001, "good", "good/x", 0.5)]
