@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import os
-import re
-import shutil
 import string
 import tempfile
 import uuid
@@ -19,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from markloom.sources import shared_dir
+
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 
 #: Bytes to bytes: A-Z become a-z; digits, a-z and every byte of a non-ASCII character stay; the rest become a blank.
@@ -68,25 +67,6 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a temporary one of a local session
-    (tests); on a cluster that would be a folder of one machine, so there it is an error."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        context = spark.sparkContext
-        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        if context.applicationId not in _OWN:
-            own = tempfile.mkdtemp(prefix="markloom-")
-            atexit.register(shutil.rmtree, own, ignore_errors=True)
-            _OWN[context.applicationId] = "file://" + own
-        at = _OWN[context.applicationId]
-    return at.rstrip("/")
-
-
 def masked(docs: DataFrame, **more: Column) -> DataFrame:
     """docs with doc_id and text under their names and all other columns as x_0, x_1, ... (and more columns),
     so that what an operator adds can't clash with what the rows bring along."""

@@ -150,7 +150,9 @@ def test_one_row_of_each_group_stays(spark, tmp_path):
         assert got == sorted([(7, a), (None, b), (3, c), (2, d)], key=repr)
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_components_of_paths_and_stars(spark, monkeypatch, few):
+    monkeypatch.setattr("markloom.llm.components.FEW", few)
     r = np.random.default_rng(3)
     order = r.permutation(300).tolist()
     edges = list(zip(order, order[1:], strict=False)) + [(1000, x) for x in range(1001, 1200)] + [(5000, 5000), (6000, 6001), (6001, 6000)]
