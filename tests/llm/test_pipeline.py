@@ -4,13 +4,16 @@ import importlib
 import os
 import subprocess
 import sys
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from markloom.llm import op2_decontaminate, op5_simhash
+from markloom.llm import op2_decontaminate, op5_simhash, op7_pack
 from markloom.llm.common import Workspace
 from tests.llm.rows import prose
+from tests.llm.test_op2_decontaminate import brute as brute_leaks
+from tests.llm.test_op5_simhash import grouped
 
 pipeline = pytest.importorskip("corpus_pipeline")
 SF = "/root/testdata/sf0.001"
@@ -48,13 +51,44 @@ def tables(spark, tmp_path_factory):
     return at
 
 
+def by_loops(name, rows, bench):
+    """What a stage must make of (doc_id, text): near copies over all pairs, repeats over all windows, benchmarks over
+    all windows, packing as pieces by the tokenizer itself."""
+    if name == "near_copies":
+        sets = {i: {tuple(t.lower().split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t in rows}
+        ids = [i for i, _ in rows]
+        near = lambda k: [j for j, x in enumerate(ids) if len(sets[ids[k]] & sets[x]) >= 0.8 * len(sets[ids[k]] | sets[x])]
+        return {i: t for (i, t), first in zip(rows, grouped(ids, near), strict=True) if i == first}
+    if name == "repeats":
+        data = {i: t.encode() for i, t in rows}
+        seen = Counter(b[k : k + 200] for b in data.values() for k in range(len(b) - 199))
+        out = {}
+        for i, b in data.items():
+            gone = {j for k in range(len(b) - 199) if seen[b[k : k + 200]] > 1 for j in range(k, k + 200)}
+            out[i] = bytes(x for k, x in enumerate(b) if k not in gone).decode("utf-8", "ignore")
+        return out
+    if name == "benchmarks":
+        return {i: t for (i, t), x in zip(sorted(rows), leaks(sorted(rows), bench), strict=True) if x[0] == i and not x[5]}
+    words = op7_pack.WordIds(op7_pack.default_tokenizer())
+    return {i: len(words.tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in rows}
+
+
+def leaks(rows, bench):
+    return sorted(brute_leaks(rows, bench), key=lambda x: x[0])
+
+
 def test_stages(spark, tables):
     ws = Workspace(spark, "test")
     docs = spark.read.parquet(f"{tables}/documents.parquet")
+    bench = [tuple(r) for r in spark.read.parquet(f"{tables}/benchmark.parquet").collect()]
     kept = {}
     for name, stage in pipeline.STAGES:
         before = docs
         docs = ws.save(stage(spark, docs, tables), name)
+        if name != "quality":
+            want = by_loops(name, [tuple(r) for r in before.select("doc_id", "text").collect()], bench)
+            got = docs.groupBy("doc_id").agg(F.sum("length").alias("text")) if name == "packing" else docs
+            assert {r["doc_id"]: r["text"] for r in got.collect()} == want, name
         if name != "packing":
             assert docs.columns == before.columns
             kept[name] = {r["doc_id"]: r for r in docs.collect()}
