@@ -10,7 +10,8 @@ holds a third of all rows. Each batch is assembled at once: numpy computes segme
 offsets and scatter indices, and every header and text byte is copied into one preallocated Arrow buffer.
 The result has one row per conversation and batch ("part"), in order; most conversations have one part.
 
-Null role or text: empty. A null conv_id is a conversation of its own, null turns come first. Extra columns
+A very long text fills a part of its own: memory is a batch or the longest text, whichever is more. A conversation's
+digest runs on from part to part, so one conversation is one task's. Null role or text: empty. A null conv_id is a conversation of its own, null turns come first. Extra columns
 are ignored, an empty table gives an empty result.
 """
 

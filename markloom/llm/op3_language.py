@@ -10,7 +10,7 @@ they run over word ends as far as they match. All of every text counts.
 The sample: of each language distinct labelled texts in the order of their hashes, each whole, until they have
 `bytes_each` bytes (with many languages `BYTES_ALL` by their number). Texts of over `LONGEST` bytes aren't taken, but for
 a language that has no others: there its shortest one is. So the sample, and a worker's tables, don't grow with the input.
-Languages are read from the labels; null labels teach nothing.
+Languages are read from the labels (a row for each label is collected); null labels teach nothing.
 
 Parsing goes by numpy over many stretches (lanes) of text at once, a byte of each in a step. A lane begins as if a
 phrase did; afterwards it is parsed again from the state that the lane before it left, up to the first place where both

@@ -308,11 +308,12 @@ def repeated_spans(rows: DataFrame, ws: Workspace, n: int = N, k: int = K, hot:
     pick = [F.first(c).alias(c) for c in ("rid", "s0", "s1")]  # of one row: all three are taken together
     kinds = ws.save(repeated.filter("multi").groupBy("h", *digest).agg(F.count("*").alias("c"), *pick), "kinds")
     ends = ["rid", F.col("s0").alias("start"), (F.col("s1") + n).alias("stop")]
+    copies = sent_if_small(kinds.filter("c > 1").select("h", *digest))
     spans = [
         repeated.filter("not multi").select(*ends),
-        repeated.filter("multi").join(kinds.filter("c > 1").select("h", *digest), ["h", *digest], "left_semi").select(*ends),
+        repeated.filter("multi").join(copies, ["h", *digest], "left_semi").select(*ends),
     ]
-    # a hash has over `hot` kinds: as many tables rows at most as there are kinds / hot
+    # hashes with over `hot` kinds
     common = ws.save(kinds.groupBy("h").agg(F.count("*").alias("nk")).filter(F.col("nk") > hot).select("h"), "common")
     want = kinds.groupBy("rid").agg(F.collect_list(F.struct("h", "c", "s0", "s1")).alias("want"))
     cut = rows.select("rid", "text").join(want, "rid").mapInArrow(_cut_blocks(n), "h long, c long, rid long, s0 int, block binary")

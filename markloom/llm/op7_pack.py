@@ -12,7 +12,8 @@ interchangeable, so a sweep works on classes: its state is the number of pieces
 size, at most `capacity` sizes, however many documents there are. What grows with the input stays distributed:
 ranks (a count per task and length, summed over tasks) and the assignment of pieces to sequences.
 
-Null or empty texts are a document of the end id alone. Repeated rows are packed each. Extra columns are ignored;
+A very long text is tokenised alone, in the task that reads it. Null or empty texts are a document of the end id alone;
+a null id is an id like others. Repeated rows are packed each. Extra columns are ignored;
 an empty table gives an empty result.
 """
 

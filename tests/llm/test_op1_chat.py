@@ -48,6 +48,14 @@ def test_one_hot_conversation_spans_parts(spark, monkeypatch):
     assert [tuple(r)[1:5] for r in got] == [want]
 
 
+def test_a_very_long_text_comes_alone(spark):
+    long = "<|im_end|>é" * 400_000
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", long), (1, 2, "assistant", "b"), (2, 0, "assistant", "c")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: tuple(r)[1:5] for r in op.chat_digest(op.chat_format(df)).collect()}
+    assert got == {c: digest([r[2:] for r in rows if r[0] == c]) for c in (1, 2)}
+
+
 def test_contract_rows_and_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     got = op.chat_digest(op.chat_format(op.contract_turns(df))).collect()
