@@ -44,7 +44,7 @@ def brute(rows, n, most):
     return sorted(((i, f"{int(f):016x}", c) for i, f, c in zip(ids, fp, roots, strict=True)), key=repr)
 
 
-@pytest.mark.parametrize("hot", [op.HOT, 2, 0])
+@pytest.mark.parametrize("hot", [op.HOT, 2])
 def test_edited_copies(spark, tmp_path, hot):
     rows = []
     for s in range(12):
@@ -87,7 +87,7 @@ def test_segments_follow_the_count_and_miss_nothing():
             assert sum(sorted((flips >> a & (1 << w) - 1).bit_count() for _, a, w in bounds)[:taken]) <= radius
 
 
-@pytest.mark.parametrize("hot", [10_000, 20, 1])
+@pytest.mark.parametrize("hot", [10_000, 1])
 def test_wide_fingerprints(spark, tmp_path, hot):
     """Two words a fingerprint, against all pairs; radius 1 meets all pairs within 15 bits, and most within 23."""
     rows = []
@@ -118,7 +118,7 @@ def test_similar_sets_against_all_pairs():
         assert grouped(ids, tied(got)) == grouped(ids, tied(linked))
 
 
-@pytest.mark.parametrize("hot_sets", [op.HOT_SETS, 5, 1])
+@pytest.mark.parametrize("hot_sets", [op.HOT_SETS, 1])
 def test_only_similar_texts_go(spark, tmp_path, hot_sets):
     """Copies with edits here and there: fingerprints chain far more of them than have five-word similarity of 0.8."""
     rows = []
