@@ -20,8 +20,8 @@ def _q(s: str) -> str:
 
 
 # The catalogue. Name, elements (values and ranges; ? for an optional one), and each element as a regex
-# over pairs of hex digits (bytes) or characters (code points).
-_WS, _UP, _LOW = "(?:09|0A|0C|0D|20)", "4[1-9A-F]|5[0-9A]", "6[1-9A-F]|7[0-9A]"
+# over pairs of hex digits (bytes) or characters (code points; and single bytes, which are all of ASCII).
+_UP, _LOW = "4[1-9A-F]|5[0-9A]", "6[1-9A-F]|7[0-9A]"
 _BYTES: list[tuple[str, str, list[str]]] = [
     ("UTF16BEBOM", "254 255", ["FE", "FF"]),
     ("UTF16LEBOM", "255 254", ["FF", "FE"]),
@@ -33,19 +33,19 @@ _BYTES: list[tuple[str, str, list[str]]] = [
     ("OPENMETA", "60 77,109 69,101 84,116 65,97 9-10,12-13,32,47", ["3C", "[46]D", "[46]5", "[57]4", "[46]1", "(?:09|0A|0C|0D|20|2F)"]),
     ("THREEC", "60 ?47 65-90,97-122", ["3C", "..", f"(?:{_UP}|{_LOW})"]),
     ("ESQ", "60 33,47,63", ["3C", "(?:21|2F|3F)"]),
-    ("CLOSETAG", "62", ["3E"]),
-    ("SKIPSEQUENCE", "9-10,12-13,32,62", ["(?:09|0A|0C|0D|20|3E)"]),
-    ("GETATTRSKIP", "9-10,12-13,32,47", ["(?:09|0A|0C|0D|20|2F)"]),
-    ("GETATTREQ", "61", ["3D"]),
-    ("GETATTRIFSPACES", "9-10,12-13,32", [_WS]),
-    ("GETATTRBYTEABORT", "77,109", ["[46]D"]),
-    ("GETATTRMAIUSCLETTERS", "65-90", [f"(?:{_UP})"]),
-    ("GETATTRQUOTE", "34,39", ["2[27]"]),
+    ("CLOSETAG", "62", ["[>]"]),
+    ("SKIPSEQUENCE", "9-10,12-13,32,62", ["[\\t\\n\\f\\r >]"]),
+    ("GETATTRSKIP", "9-10,12-13,32,47", ["[\\t\\n\\f\\r /]"]),
+    ("GETATTREQ", "61", ["[=]"]),
+    ("GETATTRIFSPACES", "9-10,12-13,32", ["[\\t\\n\\f\\r ]"]),
+    ("GETATTRBYTEABORT", "77,109", ["[Mm]"]),
+    ("GETATTRMAIUSCLETTERS", "65-90", ["[A-Z]"]),
+    ("GETATTRQUOTE", "34,39", ["[\"']"]),
     ("XMLOPENTAG", "60 63 120 109 108", ["3C", "3F", "78", "6D", "6C"]),
     ("XMLENCODING", "101 110 99 111 100 105 110 103", ["65", "6E", "63", "6F", "64", "69", "6E", "67"]),
-    ("XMLG", "103", ["67"]),
-    ("XMLSPACEORCONTROL", "0-32", ["(?:[01][0-9A-F]|20)"]),
-    ("SPACESANDSEMICOLON", "9-10,12-13,32,59", ["(?:09|0A|0C|0D|20|3B)"]),
+    ("XMLG", "103", ["[g]"]),
+    ("XMLSPACEORCONTROL", "0-32", ["[\\x00-\\x20]"]),
+    ("SPACESANDSEMICOLON", "9-10,12-13,32,59", ["[\\t\\n\\f\\r ;]"]),
 ]
 _NEVER = "[^\\x{0}-\\x{10ffff}]"  # surrogates are in no string
 _NON = "\\x{fdd0}-\\x{fdef}" + "".join(f"\\x{{{p:x}fffe}}-\\x{{{p:x}ffff}}".replace("{0f", "{f") for p in range(17))
@@ -63,19 +63,22 @@ _PATTERN = {name: (parts, domain) for name, _, parts, domain in _ALL}
 
 
 def _scan(name: str, pending: bool = False) -> str:
-    """A whole match (group 1); where asked for, what the end leaves unfinished; a prefix and the value that breaks it; any value."""
+    """A whole match (group 1); where asked for, what the end leaves unfinished; a prefix and the value that breaks it; values that begin nothing."""
     parts, domain = _PATTERN[name]
-    any_one = ".." if domain == "byte" else "."
+    any_one, a, b = (".." if domain == "byte" else "."), parts[0][0], parts[0][1]
+    others = f"(?:[^{a}].|{a}[^{b}])+" if domain == "byte" else f"[^{parts[0]}]+"
     unfinished = ["".join(parts[:k]) + "\\z" for k in range(len(parts) - 1, 0, -1)] if pending else []
     broken = ["".join(parts[:k]) + any_one for k in range(len(parts) - 1, 0, -1) if _OPTIONAL.get(name) != k]
-    return _q("(?s)" + "|".join([f"({''.join(parts)})", *unfinished, *broken, any_one]))
+    return _q("(?s)" + "|".join([f"({''.join(parts)})", *unfinished, *broken, others]))
 
 
 def _view(name: str) -> str:
-    return "h" if _PATTERN[name][1] == "byte" else "t"
+    return "h" if _PATTERN[name][1] == "byte" and len(_PATTERN[name][0]) > 1 else "t"
 
 
 def _count(name: str, view: str) -> str:
+    if len(_PATTERN[name][0]) == 1:
+        return f"(length({view}) - length(regexp_replace({view}, '{_q(_PATTERN[name][0][0])}', '', 'g')))"
     return f"len(list_filter(regexp_extract_all({view}, '{_scan(name)}', 1), lambda x: x <> ''))"
 
 
@@ -86,6 +89,8 @@ def _counts(key: str, source: str, text: str) -> str:
 
 def _result(name: str, view: str) -> str:
     parts, _ = _PATTERN[name]
+    if len(parts) == 1:
+        return f"CASE WHEN length({view}) = 0 THEN NULL WHEN regexp_matches(right({view}, 1), '{_q(parts[0])}') THEN 'TRUE' ELSE 'FALSE' END"
     last = f"regexp_extract_all({view}, '{_scan(name, True)}', 0)[-1]"
     begun = "|".join("".join(parts[:k]) for k in range(1, len(parts)))
     more = f"WHEN regexp_matches({last}, '^(?:{_q(begun)})\\z') THEN 'PENDING' " if begun else ""
