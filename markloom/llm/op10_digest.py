@@ -85,7 +85,7 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     order = _order(F.col("text"))
     part = lambda n: F.least(F.floor(order / F.lit(2.0**63) * n).cast("int"), n - 1)
     # the number of cuts at or below doc_id, and below it, by halving a sorted literal
-    up_to, below = (_count_below(cut_array, len(cuts), x) for x in (F.col("doc_id"), F.col("doc_id") - 1))
+    up_to, below = (_count_cuts(cut_array, len(cuts), F.col("doc_id"), itself) for itself in (True, False))
     placed = docs.withColumn("up_to", up_to).withColumn("own", F.col("up_to") - below)
     bucket = F.when(F.col("own") > 1, F.col("up_to") - F.col("own") + 1 + part(F.col("own"))).otherwise(F.col("up_to"))
     placed = placed.withColumn("bucket", F.when(F.col("doc_id").isNull(), part(F.lit(null_ranges)) - null_ranges).otherwise(bucket))
@@ -108,14 +108,15 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     return led.select("doc_id", "text", "next_text")
 
 
-def _count_below(cuts: Column, n: int, x: Column) -> Column:
-    """How many of the n sorted cuts are at most x: a search by halving, as a fold over the step widths."""
+def _count_cuts(cuts: Column, n: int, x: Column, itself: bool) -> Column:
+    """How many of the n sorted cuts are below x, or x itself: a search by halving, as a fold over the step widths."""
     if n == 0:
         return F.lit(0)
     steps = F.array(*[F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1)])
 
     def widen(found: Column, step: Column) -> Column:
-        return F.when((found + step <= n) & (F.get(cuts, found + step - 1) <= x), found + step).otherwise(found)
+        cut = F.get(cuts, found + step - 1)
+        return F.when((found + step <= n) & (cut <= x if itself else cut < x), found + step).otherwise(found)
 
     return F.aggregate(steps, F.lit(0), widen)
 

@@ -59,7 +59,7 @@ def test_hot_ids_are_cut_and_ordered(spark, tmp_path):
     """Most rows have one id or none: their ranges are cut by the texts' hashes, and each row has its successor."""
     r = random.Random(2)
     texts = [f"text {i}" for i in range(400)]
-    rows = [(None, t) for t in texts[:100]] + [(7, t) for t in texts[100:300]] + [(i, t) for i, t in enumerate(texts[300:])] + [(7, texts[120])] * 3
+    rows = [(None, t) for t in texts[:100]] + [(7, t) for t in texts[100:300]] + [(i, t) for i, t in enumerate(texts[300:])] + [(7, texts[120])] * 3 + [(-(2**63), "least"), (2**63 - 1, "most")]
     r.shuffle(rows)
     df = stored(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), tmp_path)
     place = {x["text"]: x["o"] for x in df.select("text", op._order(F.col("text")).alias("o")).collect()}
