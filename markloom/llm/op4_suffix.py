@@ -4,6 +4,8 @@
    windows have equal anchors at equal places, so a window whose anchor's hash occurs nowhere else is unique. The
    windows that share an anchor are a block (about 75 of them). An aggregation finds the hashes that repeat; only
    their blocks go on, which leaves the repeats and their surroundings. Hashes that collide only bring more candidates.
+   In a periodic stretch (a word pair over and over) the anchor moves on by a period, so there is a block for each
+   period, all of them equal. Equal blocks that follow one another are one row that says how many they are.
 2. Blocks of equal bytes are one suffix-array entry with a multiplicity. Equal means: of equal keyed BLAKE2b digests
    of 128 bits, with a key drawn for each call, so texts can't be made to collide; that any two of 10^12 different
    blocks do has a probability under 2 ** -48. Where all blocks of a hash are equal there is nothing to sort.
@@ -137,15 +139,27 @@ def digests(flat: np.ndarray, first: np.ndarray, stop: np.ndarray, key: bytes) -
     return tuple(pa.array(np.ascontiguousarray(two[:, i])) for i in (0, 1))
 
 
+def _in_a_row(owner, s0, s1, *same) -> tuple[np.ndarray, np.ndarray]:
+    """Of blocks in order: the first of each run of equal ones that follow one another in a text, and how many it has."""
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (s0[1:] != s1[:-1] + 1)
+    for x in (s1 - s0, *same):
+        new[1:] |= x[1:] != x[:-1]
+    first = np.flatnonzero(new)
+    return first, np.diff(np.append(first, len(new)))
+
+
 def _anchors(n: int, k: int, key: bytes):
     def run(batches):
         let_go()
         for b in slices(batches, "text", _CHUNK):
             flat, at = _flat(b.column("text"))
             owner, s0, s1, h = blocks_of(flat, at, n, k)
-            d = digests(flat, at[owner] + s0, at[owner] + s1 + n, key)
-            cols = [_long(h), *d, b.column("rid").take(pa.array(owner)), pa.array(s0.astype(np.int32)), pa.array(s1.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, names=["h", "d1", "d2", "rid", "s0", "s1"])
+            d1, d2 = digests(flat, at[owner] + s0, at[owner] + s1 + n, key)
+            first, times = _in_a_row(owner, s0, s1, h, d1.to_numpy(), d2.to_numpy())
+            owner, s0, s1, h, d1, d2 = (x[first] for x in (owner, s0, s1, h, d1.to_numpy(), d2.to_numpy()))
+            cols = [_long(h), _long(d1), _long(d2), b.column("rid").take(pa.array(owner)), *(pa.array(x.astype(np.int32)) for x in (s0, s1, times))]
+            yield pa.RecordBatch.from_arrays(cols, names=["h", "d1", "d2", "rid", "s0", "s1", "times"])
 
     return run
 
@@ -297,17 +311,17 @@ def release(spark) -> None:
 def repeated_spans(rows: DataFrame, ws: Workspace, n: int = N, k: int = K, hot: int = HOT) -> DataFrame:
     """rows: rid, text, a saved table. Spans (rid, start, stop) in bytes, not merged, that cover every repeated window."""
     spark, key, digest = rows.sparkSession, os.urandom(16), ["d1", "d2"]
-    anchors = ws.save(rows.select("rid", "text").mapInArrow(_anchors(n, k, key), "h long, d1 long, d2 long, rid long, s0 int, s1 int"), "anchors")
+    anchors = ws.save(rows.select("rid", "text").mapInArrow(_anchors(n, k, key), "h long, d1 long, d2 long, rid long, s0 int, s1 int, times int"), "anchors")
     ends = [f(c).alias(f"{c}_{name}") for c in digest for name, f in (("low", F.min), ("high", F.max))]
-    twice = anchors.groupBy("h").agg(F.count("*").alias("n"), *ends).filter("n > 1")
+    twice = anchors.groupBy("h").agg(F.sum("times").alias("n"), *ends).filter("n > 1")
     # saved, so that the join has a plain shuffle under it, which Spark can split where a hash is hot
     twice = ws.save(twice.select("h", F.expr("d1_low != d1_high OR d2_low != d2_high").alias("multi")), "twice")
     repeated = ws.save(anchors.join(twice, "h"), "repeated")
     release(spark)
     ws.drop("anchors", "twice")
     pick = [F.first(c).alias(c) for c in ("rid", "s0", "s1")]  # of one row: all three are taken together
-    kinds = ws.save(repeated.filter("multi").groupBy("h", *digest).agg(F.count("*").alias("c"), *pick), "kinds")
-    ends = ["rid", F.col("s0").alias("start"), (F.col("s1") + n).alias("stop")]
+    kinds = ws.save(repeated.filter("multi").groupBy("h", *digest).agg(F.sum("times").alias("c"), *pick), "kinds")
+    ends = ["rid", F.col("s0").alias("start"), F.expr(f"s0 + times * (s1 - s0 + 1) - 1 + {n}").alias("stop")]
     copies = sent_if_small(kinds.filter("c > 1").select("h", *digest))
     spans = [
         repeated.filter("not multi").select(*ends),

@@ -13,8 +13,10 @@ Keys must not hold more rows as the table grows, so the blocks follow from the m
 (`segmentation`): beyond 2**24 two of 5 blocks are a segment (25 bits), beyond 2**28 four of 8 (32 bits, radius 0), and so
 on. Every choice finds every link.
 
-A table key's rows are compared in one task, in numpy blocks. From a large key only links that join what was
-apart are emitted (a spanning forest), so near copies don't give all their pairs. A key with over `hot` table
+A table key's rows are compared in one task, in numpy blocks. In a large key only links that join what was apart are
+taken (a spanning forest), and what a task emits are not the links of its keys but stars: each linked fingerprint with
+the smallest one that the task's links reach. So near copies, which share many keys, give no task more rows than they
+are, however many pairs they make. A key with over `hot` table
 rows isn't compared: its fingerprints instead emit every value within half the distance (where that is odd, the one
 half as a side of its own and the other as the other), on which linked fingerprints meet (a ball of 2,081 values for 4
 bits), and are tied by an aggregation. That is exact too, linear in the group, and no task holds it.
@@ -54,6 +56,8 @@ SHINGLE, MOST = 4, 4
 HOT = 16_384
 #: Sets of shingles, and hashes in them, that are compared in one task (twice as many in a cell of a grid).
 HOT_SETS, HOT_HASHES = 1024, 2_000_000
+#: Links that a task gathers before it folds them into stars, and stars that it holds.
+_GATHER, _HOLD = 1 << 16, 1 << 20
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -206,8 +210,45 @@ def _probes(blocks: int, taken: int, radius: int, words: int):
     return run
 
 
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node of these links but the smallest of each component, and that smallest one."""
+    nodes, code = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = code[: len(u)], code[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            break
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label != label[label]).any():
+            label = label[label]
+    own = label != np.arange(len(nodes))
+    return nodes[own], nodes[label[own]]
+
+
+def _folded(links):
+    """Batches of edges with the components of all links (pairs of arrays of nodes) that a task finds: stars, told once a
+    task, or whenever there are more than it may hold."""
+
+    def batch(u, v):
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (u, v)], names=["u", "v"])
+
+    us, vs, held, fold_at = [], [], 0, _GATHER
+    for u, v in links:
+        us.append(u), vs.append(v)
+        held += len(u)
+        if held > fold_at:
+            u, v = stars(np.concatenate(us), np.concatenate(vs))
+            if len(u) > _HOLD:
+                yield batch(u, v)
+                u, v = u[:0], v[:0]
+            us, vs, held, fold_at = [u], [v], len(u), len(u) + max(_GATHER, len(u))
+    if held:
+        yield batch(*stars(np.concatenate(us), np.concatenate(vs)))
+
+
 def _verify(most: int, words: int, small: int = 64):
-    """Rows sorted by key and side: table rows of a key come before its probes. Emits links, one forest a key where it is large."""
+    """Rows sorted by key and side: table rows of a key come before its probes. Emits edges with the components of all links."""
     names = bit_columns(words)
 
     def links(sizes, tables, fp):
@@ -235,16 +276,7 @@ def _verify(most: int, words: int, small: int = 64):
                     label[np.isin(label, found)] = mine
             yield own[:, us], own[:, vs]
 
-    def out(sizes, tables, fp):
-        found = list(links(sizes, tables, fp))
-        none = np.zeros((len(names), 0), np.uint64)
-        u, v = (_node(np.concatenate([x[i] for x in found] or [none], axis=1)) for i in (0, 1))
-        low, high = np.minimum(u, v), np.maximum(u, v)
-        pairs = np.unique(np.stack([high, low], 1)[low != high], axis=0) if len(u) else np.zeros((0, 2), np.uint64)
-        cols = [pa.array(np.ascontiguousarray(pairs[:, i]).view(np.int64)) for i in (0, 1)]
-        return pa.RecordBatch.from_arrays(cols, names=["u", "v"])
-
-    def run(batches):
+    def found(batches):
         key, side, fp = np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros((len(names), 0), np.uint64)
         for b in batches:
             key = np.concatenate([key, b.column("key").to_numpy()])
@@ -254,10 +286,13 @@ def _verify(most: int, words: int, small: int = 64):
             ends = np.flatnonzero(key[1:] != key[:-1])
             if len(ends):
                 cut = ends[-1] + 1
-                yield out(*_runs(key[:cut], side[:cut]), fp[:, :cut])
+                yield from links(*_runs(key[:cut], side[:cut]), fp[:, :cut])
                 key, side, fp = key[cut:], side[cut:], fp[:, cut:]
         if len(key):
-            yield out(*_runs(key, side), fp)
+            yield from links(*_runs(key, side), fp)
+
+    def run(batches):
+        yield from _folded((_node(u), _node(v)) for u, v in found(batches))
         trim()
 
     return run

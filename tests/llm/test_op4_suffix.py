@@ -2,6 +2,7 @@ import collections
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 
 from markloom.llm import op4_suffix as op
 from tests.llm.rows import awkward, empty, prose, stored
@@ -85,6 +86,33 @@ def test_texts_whose_polynomial_hashes_collide(spark, tmp_path):
     assert same[0] == same[1] and one[0] != one[1] and two[0] != two[1]
 
 
+def test_periodic_stretches(spark, tmp_path):
+    """A block for each period, all equal, is one row; what is cut stays the same, alone, once more and beside others."""
+    pairs = ["ab", "a", "xyz", "one two ", "é", "aab"]
+    rows = [(i, f"{i}left {p * 60} right{i}") for i, p in enumerate(pairs)]
+    rows += [(10 + i, f"other {p * (20 + i)} end{i}") for i, p in enumerate(pairs * 2)]
+    rows += [(30, "q" * 23), (31, "uv" * 300), (32, prose(5, 30)), (33, "ab" * 9 + "z" + "ab" * 11), (34, prose(5, 30)[7:90])]
+    for some in (rows, rows[3:4]):
+        df = stored(spark, spark.createDataFrame(some, "doc_id long, text string"), tmp_path)
+        for n, k in ((20, 6), (16, 1)):
+            want = brute(some, n)
+            for hot in (op.HOT, 0):
+                got = sorted((tuple(x) for x in op.repeats_report(df, n, k, hot).collect()), key=repr)
+                assert got == want, (len(some), n, k, hot)
+
+
+def test_equal_blocks_in_a_row_are_one_row():
+    text = "thing that " * 400
+    batch = pa.RecordBatch.from_arrays([pa.array([text, "x" * 3000, text, prose(1, 200)]), pa.array([0, 1, 2, 3])], names=["text", "rid"])
+    (got,) = op._anchors(op.N, op.K, b"k" * 16)([batch])
+    rows = got.to_pandas()
+    assert (rows.groupby("rid").size()[[0, 1, 2]] <= 4).all()
+    for i, t in enumerate(batch.column("text").to_pylist()):  # every window still stands in one block
+        own = rows[rows.rid == i]
+        stop = own.s0 + own.times * (own.s1 - own.s0 + 1)
+        assert own.s0.tolist() == [0, *stop.tolist()[:-1]] and stop.iloc[-1] == len(t) - op.N + 1
+
+
 def test_rows_keep_their_numbers(spark, tmp_path):
     """The scan is split otherwise between the call and the action."""
     shared = prose(9, 60)

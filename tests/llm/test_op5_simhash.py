@@ -75,6 +75,34 @@ def test_links_of_random_fingerprints(spark, tmp_path, segments, most, hot, take
     assert [roots.get(x, x) for x in signed] == want
 
 
+def test_near_copies_give_a_task_no_more_edges_than_they_are(spark):
+    """All within two bits of one value, in keys of few rows each: the pairs grow with the square, edges must not."""
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for size in (16, 32, 64):
+        fps = [0] + [1 << i for i in range(size - 1)]
+        df = spark.createDataFrame([(x,) for x in fps], "fp long")
+        edges = [tuple(r) for r in op.link_edges(df, Workspace(spark, "test"), 4, 3).distinct().collect()]
+        assert len(edges) <= tasks * (size - 1), size
+        at = {x: i for i, x in enumerate(fps)}
+        assert set(grouped(fps, lambda i: [at[v] for u, v in edges if u == fps[i]])) == {0}
+
+
+def test_folded_links_have_the_components_of_all(monkeypatch):
+    r = np.random.default_rng(11)
+    for gather, hold in ((op._GATHER, op._HOLD), (5, 1000), (0, 7), (0, 0)):
+        monkeypatch.setattr(op, "_GATHER", gather)
+        monkeypatch.setattr(op, "_HOLD", hold)
+        for n in (0, 1, 60, 300):
+            ids = np.sort(r.integers(0, 1 << 64, 200, dtype=np.uint64))
+            links = [(ids[r.integers(0, 200, k)], ids[r.integers(0, 200, k)]) for k in r.integers(0, 9, n // 4 + n % 4)]
+            got = [x.column(c).to_numpy().view(np.uint64) for x in op._folded(iter(links)) for c in ("u", "v")]
+            if hold >= 1000 and got:
+                assert len(got) == 2 and len(set(got[0].tolist())) == len(got[0])  # once each
+            names = ids.tolist()
+            tied = lambda pairs: lambda i: [names.index(b) for u, v in pairs for a, b in zip(u.tolist(), v.tolist(), strict=True) if a == names[i]]
+            assert grouped(names, tied(links)) == grouped(names, tied(list(zip(got[::2], got[1::2], strict=True))))
+
+
 def test_segments_follow_the_count_and_miss_nothing():
     assert [op.segmentation(n) for n in (0, 1 << 24, 1 << 25, 1 << 30, 1 << 36)] == [(3, 1), (3, 1), (5, 2), (8, 4), (10, 6)]
     r = np.random.default_rng(2)
